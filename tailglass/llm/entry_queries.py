@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .block_anchors import repeat_digest
 from .common import table
 from .compression_bands import compression_bands
 
@@ -14,8 +15,34 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(table(spark, sf_dir, "documents"))
 
 
+def op4_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
+    "op4_block_anchors": op4_block_anchors,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: op4: all windows of 35 words, counted; the rest is cutting and joining again.
+OP4_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+places AS (
+  SELECT rid, i, array_to_string(list_slice(ws, i, i + 34), ' ') AS k
+  FROM (SELECT rid, ws, unnest(range(1, len(ws) - 33)) AS i FROM docs)),
+found AS (SELECT k FROM places GROUP BY k HAVING count(*) > 1),
+cut AS (
+  SELECT DISTINCT rid, unnest(range(i, i + 35)) AS pos FROM places SEMI JOIN found USING (k)),
+words AS (SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM docs),
+kept AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n
+  FROM words ANTI JOIN cut USING (rid, pos) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (rid)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_block_anchors": OP4_SQL}
