@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .block_anchors import repeat_digest
 from .common import table
 from .compression_bands import compression_bands
+from .cutting_stock import pack
 
 
 def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +20,14 @@ def op4_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
     "op4_block_anchors": op4_block_anchors,
+    "op7_cutting_stock": op7_cutting_stock,
 }
 
 #: op4: all windows of 35 words, counted; the rest is cutting and joining again.
