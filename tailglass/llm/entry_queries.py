@@ -10,6 +10,7 @@ from .block_anchors import repeat_digest
 from .common import table
 from .compression_bands import compression_bands
 from .cutting_stock import pack
+from .wavelet import token_files
 
 
 def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +25,15 @@ def op7_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
     "op4_block_anchors": op4_block_anchors,
     "op7_cutting_stock": op7_cutting_stock,
+    "op8_wavelet_matrix": op8_wavelet_matrix,
 }
 
 #: op4: all windows of 35 words, counted; the rest is cutting and joining again.
