@@ -10,6 +10,7 @@ from .block_anchors import repeat_digest
 from .common import table
 from .compression_bands import compression_bands
 from .cutting_stock import pack
+from .prob_minhash import near_classes
 from .wavelet import token_files
 
 
@@ -21,6 +22,10 @@ def op4_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,7 @@ def op8_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
     "op4_block_anchors": op4_block_anchors,
+    "op5_prob_minhash": op5_prob_minhash,
     "op7_cutting_stock": op7_cutting_stock,
     "op8_wavelet_matrix": op8_wavelet_matrix,
 }
