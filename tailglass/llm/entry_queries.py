@@ -11,6 +11,7 @@ from .common import table
 from .compression_bands import compression_bands
 from .cutting_stock import pack
 from .prob_minhash import near_classes
+from .qgram_lemma import leaks
 from .wavelet import token_files
 
 
@@ -26,6 +27,10 @@ def op5_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
 
+def op6_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
     "op4_block_anchors": op4_block_anchors,
     "op5_prob_minhash": op5_prob_minhash,
+    "op6_qgram_lemma": op6_qgram_lemma,
     "op7_cutting_stock": op7_cutting_stock,
     "op8_wavelet_matrix": op8_wavelet_matrix,
 }
