@@ -13,6 +13,7 @@ from .cutting_stock import pack
 from .prob_minhash import near_classes
 from .qgram_lemma import leaks
 from .wavelet import token_files
+from .zip_warc import archive_pages
 
 
 def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,10 @@ def op8_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
 
+def op10_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
     "op4_block_anchors": op4_block_anchors,
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_qgram_lemma": op6_qgram_lemma,
     "op7_cutting_stock": op7_cutting_stock,
     "op8_wavelet_matrix": op8_wavelet_matrix,
+    "op10_zip_warc": op10_zip_warc,
 }
 
 #: op4: all windows of 35 words, counted; the rest is cutting and joining again.
@@ -69,4 +75,18 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0)
 FROM docs LEFT JOIN kept USING (rid)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_block_anchors": OP4_SQL}
+#: op10: five hexadecimal digits of the SHA-1 are four of base 32.
+OP10_SQL = """
+WITH pays AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+firsts AS (SELECT html, min(page_id) AS first FROM pays GROUP BY html)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + CAST((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS INTEGER), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM pays JOIN firsts USING (html)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_block_anchors": OP4_SQL, "op10_zip_warc": OP10_SQL}
