@@ -12,6 +12,7 @@ from .compression_bands import compression_bands
 from .cutting_stock import pack
 from .prob_minhash import near_classes
 from .qgram_lemma import leaks
+from .script_viterbi import languages
 from .wavelet import token_files
 from .zip_warc import archive_pages
 
@@ -20,6 +21,10 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(table(spark, sf_dir, "documents"))
 
 
+def op3_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op4_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digest(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def op10_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
+    "op3_script_viterbi": op3_script_viterbi,
     "op4_block_anchors": op4_block_anchors,
     "op5_prob_minhash": op5_prob_minhash,
     "op6_qgram_lemma": op6_qgram_lemma,
