@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import slices, stored
-from .tokens import Encoder
+from .tokens import ENCODE_BYTES, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Rows of one length that one block of the ranking has, about; and the most blocks (their counts go to the driver).
@@ -55,10 +55,10 @@ class Packing:
 
 
 def pieces_of(batches: Iterator[pa.RecordBatch], how: Packing) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(how.vocabulary)
+    coder = encoder(how.vocabulary)
     for batch in batches:
-        for part in slices(batch, "text"):
-            offsets, ids = encoder.encode(part.column("text"), how.end)
+        for part in slices(batch, "text", ENCODE_BYTES):
+            offsets, ids = coder.encode(part.column("text"), how.end)
             rows = [
                 (doc, at, n, zlib.crc32(ids[first + at : first + at + n].tobytes()), last - first)
                 for doc, first, last in zip(part.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)

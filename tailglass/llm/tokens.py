@@ -8,17 +8,29 @@ hold (tokens with a space in them) take ``by_word=False`` and are encoded text b
 
 from __future__ import annotations
 
+import functools
 import os
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from .common import split_words, word_codes
+from .common import split_words
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a task keeps; beyond, it starts afresh.
-CACHE_WORDS = 300_000
+#: Words in each of the two generations whose ids a worker keeps.
+CACHE_WORDS = 250_000
+#: Bytes of text to encode at once: a word that recurs within is looked up once.
+ENCODE_BYTES = 8 << 20
+#: Words in one call of the library.
+JOINED = 200
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str | None = None, by_word: bool = True) -> Encoder:
+    """The worker's encoder: its vocabulary and known words serve all its tasks."""
+    return Encoder(path, by_word)
 
 
 class Encoder:
@@ -27,11 +39,47 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
-        self.by_word, self.known = by_word, {}
+        special = self.tokenizer.get_added_tokens_decoder()
+        #: A special token is never part of a word: it keeps the words of one call apart.
+        self.fence = next(((n, t.content) for n, t in special.items() if t.special), None)
+        #: Which ids end a run of letters; "," and "." by themselves.
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for t, n in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = [np.frombuffer(x, np.uint32) for x in self.ids([",", "."])]
+        self.split_letters = self.ends.any() and all(len(x) == 1 for x in self.marks)
+        self.by_word, self.known, self.older = by_word, {}, {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def ids_of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, many words to a call."""
+        if self.fence is None:
+            return self.ids(words)
+        number, fence = self.fence
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        out: list[bytes] = []
+        for group, joined in zip(groups, self.ids([f" {fence} ".join(g) for g in groups]), strict=True):
+            cuts = (np.flatnonzero(np.frombuffer(joined, np.uint32) == number) * 4).tolist()
+            if len(cuts) == len(group) - 1:
+                out += [joined[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(joined)], strict=True)]
+            else:  # a word has the token's text in it
+                out += self.ids(group)
+        return out
+
+    def ids_of_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone: each has one id that ends it, its last."""
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        out: list[bytes] = []
+        for group, joined in zip(groups, self.ids([" ".join(g) for g in groups]), strict=True):
+            cuts = (np.flatnonzero(self.ends[np.frombuffer(joined, np.uint32)]) * 4 + 4).tolist()
+            if len(cuts) == len(group) and cuts[-1] == len(joined):
+                out += [joined[a:b] for a, b in zip([0, *cuts], cuts)]  # noqa: B905
+            else:
+                out += self.ids(group)
+        return out
+
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: empty), each with ``end`` after its own: offsets by text, and ids."""
         if self.by_word:
@@ -47,15 +95,57 @@ class Encoder:
         offsets, words = split_words(texts)
         if not len(words):
             return np.zeros(len(offsets), np.int64), np.zeros(0, np.uint32)
-        codes, distinct = word_codes(words)
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = [w for w in distinct if w not in self.known]
-        self.known.update(zip(new, self.ids([w.decode() for w in new]), strict=True))
-        own = [self.known[w] for w in distinct]
+        coded = words.dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        keys, plain, mark = self._keys(distinct)
+        coded = keys.dictionary_encode()
+        of, keys = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        letters = np.zeros(len(keys), bool)
+        letters[of] = plain
+        own = self._known(keys, letters.tolist())
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        starts, flat = np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(own), np.uint32)
-        each = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        places = np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], each)
-        return ends[offsets], flat[places]
+        ends, flat = gather(np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(own), np.uint32), of)
+        marked = np.flatnonzero(mark >= 0)
+        flat = np.insert(flat, ends[marked + 1], np.concatenate(self.marks)[mark[marked]]) if len(marked) else flat
+        ends = ends + np.concatenate([[0], np.cumsum(mark >= 0)])
+        ends, flat = gather(ends, flat, codes)
+        return ends[offsets], flat
+
+    def _keys(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """What is to be encoded for each word, whether that is letters alone, and which mark follows (or -1).
+
+        Letters up to U+024F have one lower case each (but for U+0130), and letters and a comma or full stop after
+        them are encoded apart; so "The," takes the ids of "the" and of ","."""
+        if not self.split_letters:
+            return words, np.zeros(len(words), bool), np.full(len(words), -1)
+        last = pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(words, -1), value_set=pa.array([",", "."], words.type)), -1)
+        core = pc.if_else(pc.equal(last, -1), words, pc.utf8_slice_codeunits(words, 0, -1))
+        plain = pc.and_(pc.utf8_is_alpha(core), pc.invert(pc.match_substring_regex(core, r"[^\x{0000}-\x{024F}]|\x{0130}")))
+        keys = pc.if_else(plain, pc.utf8_lower(core), words)
+        plain = plain.to_numpy(zero_copy_only=False)
+        return keys, plain, np.where(plain, last.to_numpy(zero_copy_only=False), -1)
+
+    def _known(self, keys: list[str], letters: list[bool]) -> list[bytes]:
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        own = list(map(self.known.get, keys))
+        missing = [i for i, x in enumerate(own) if x is None]
+        if self.older:
+            for i in missing:
+                own[i] = self.older.get(keys[i])
+            self.known.update((keys[i], own[i]) for i in missing if own[i] is not None)
+            missing = [i for i in missing if own[i] is None]
+        for kind, ids in ((True, self.ids_of_letters), (False, self.ids_of_words)):
+            chosen = [i for i in missing if letters[i] == kind]
+            words = [keys[i] for i in chosen]
+            for i, found in zip(chosen, ids(words), strict=True):
+                own[i] = found
+            self.known.update(zip(words, (own[i] for i in chosen), strict=True))
+        return own
+
+
+def gather(ends: np.ndarray, flat: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``flat`` between ``ends``, one for each number in ``of``: their ends, and all in order."""
+    each = np.diff(ends)[of]
+    out = np.concatenate([[0], np.cumsum(each)])
+    return out, flat[np.arange(out[-1]) + np.repeat(ends[:-1][of] - out[:-1], each)]
