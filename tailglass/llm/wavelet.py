@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch, slices
-from .tokens import Encoder
+from .tokens import ENCODE_BYTES, encoder
 
 MAGIC = b"TGWVLT01"
 BLOCK_BITS = 1 << 16
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 8 << 20
 SHARDS = "shard int, documents long, tokens long, path string"
 DOCS = "doc_id long, local long, n_tokens long, ids_crc32 long, shard int"
 
@@ -126,9 +126,10 @@ class WaveletMatrix:
         for p in range(self.planes - 1, -1, -1):
             raw = [zstandard.ZstdDecompressor().decompress(self.body[a:b]) for a, b in zip(self.places[p, :-1], self.places[p, 1:], strict=True)]
             bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8), count=self.n).view(bool)
+            out[self.zeros[p] :] |= kind(1 << (self.planes - 1 - p))
             back, z = np.empty(self.n, kind), self.zeros[p]
-            back[~bits] = out[:z]
-            back[bits] = out[z:] | kind(1 << (self.planes - 1 - p))
+            back[np.flatnonzero(~bits)] = out[:z]
+            back[np.flatnonzero(bits)] = out[z:]
             out = back
         return out
 
@@ -140,7 +141,7 @@ def build(tokens: np.ndarray, ids: np.ndarray, nulls: np.ndarray, sizes: np.ndar
     now = tokens.astype(np.uint16 if planes <= 16 else np.uint32)
     body, places, ranks, zeros, at = [], [], [], [], 0
     for p in range(planes):
-        bits = (now >> now.dtype.type(planes - 1 - p) & now.dtype.type(1)).view(np.uint16 if planes <= 16 else np.uint32).astype(bool)
+        bits = (now & now.dtype.type(1 << (planes - 1 - p))).astype(bool)
         packed = np.packbits(bits)
         own = [at]
         for k in range(0, len(packed), BLOCK_BITS // 8):
@@ -148,9 +149,10 @@ def build(tokens: np.ndarray, ids: np.ndarray, nulls: np.ndarray, sizes: np.ndar
             at += len(body[-1])
             own.append(at)
         places.append(own)
-        ranks.append(np.concatenate([[0], np.cumsum(np.add.reduceat(bits, np.arange(0, len(bits), BLOCK_BITS), dtype=np.int64))]))
+        ones = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK_BITS // 8), dtype=np.int64)
+        ranks.append(np.concatenate([[0], np.cumsum(ones)]))
         zeros.append(int(len(bits) - ranks[-1][-1]))
-        now = np.concatenate([now[~bits], now[bits]])
+        now = np.concatenate([np.compress(~bits, now), np.compress(bits, now)])
     sections = {}
     for name, value in (("ids", np.asarray(ids, np.int64)), ("nulls", np.asarray(nulls, np.uint8)), ("sizes", np.asarray(sizes, np.int64)), ("places", np.array(places, np.int64)), ("ranks", np.array(ranks, np.int64))):
         body.append(pack(value.tobytes()))
@@ -161,10 +163,10 @@ def build(tokens: np.ndarray, ids: np.ndarray, nulls: np.ndarray, sizes: np.ndar
 
 
 def write_shard(batches: Iterator[pa.RecordBatch], folder: str, end: int, vocabulary: str | None) -> Iterator[pa.RecordBatch]:
-    encoder, tokens, sizes, ids = Encoder(vocabulary), [], [], []
+    coder, tokens, sizes, ids = encoder(vocabulary), [], [], []
     for batch in batches:
-        for part in slices(batch, "text"):
-            offsets, found = encoder.encode(part.column("text"), end)
+        for part in slices(batch, "text", ENCODE_BYTES):
+            offsets, found = coder.encode(part.column("text"), end)
             tokens.append(found.astype(np.uint16) if not len(found) or found.max() < 1 << 16 else found)
             sizes.append(np.diff(offsets))
             ids += part.column("doc_id").to_pylist()
