@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .block_anchors import repeat_digest
+from .block_crf import extract
 from .common import table
 from .compression_bands import compression_bands
 from .cutting_stock import pack
@@ -21,6 +22,10 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(table(spark, sf_dir, "documents"))
 
 
+def op2_block_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def op10_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
+    "op2_block_crf": op2_block_crf,
     "op3_script_viterbi": op3_script_viterbi,
     "op4_block_anchors": op4_block_anchors,
     "op5_prob_minhash": op5_prob_minhash,
