@@ -189,7 +189,7 @@ class Target:
     def __init__(self, views: Views, y: np.ndarray, use: np.ndarray, pool: np.ndarray, how: CoTraining):
         """y: label or NaN by document; use: those with a label; pool: those without that the views may label."""
         self.share = float(y[use].mean()) if len(use) else 0.5
-        self.flat = not 0 < self.share < 1
+        self.flat = not len(use) or not 0 < self.share < 1
         size = len(MEASURES) * how.bins + N_SOURCES + N_LANGS
         self.models = [Sparse(1 << how.bits, how.prior_text, how.steps, how.doubt), Sparse(size, how.prior_metadata, how.steps, how.doubt)]
         self.scales, self.mix = [np.array([1.0, 0.0])] * 2, np.array([0.5, 0.5, 0.0])
