@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .block_anchors import repeat_digest
 from .block_crf import extract
+from .co_training import quality
 from .common import table
 from .compression_bands import compression_bands
 from .cutting_stock import pack
@@ -50,6 +53,10 @@ def op8_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
 
+def op9_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
@@ -63,7 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_qgram_lemma": op6_qgram_lemma,
     "op7_cutting_stock": op7_cutting_stock,
     "op8_wavelet_matrix": op8_wavelet_matrix,
+    "op9_co_training": op9_co_training,
     "op10_zip_warc": op10_zip_warc,
+    "pipeline": corpus_pipeline.run,
 }
 
 #: op4: all windows of 35 words, counted; the rest is cutting and joining again.

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, mix, scratch, slices, split_words, spread, stored, windows, word_hashes
 
-BASE = "doc_id long, node long, bands array<long>, sketch array<long>"
+BASE = "doc_id long, tag long, node long, bands array<long>, sketch array<long>"
 
 
 @dataclass(frozen=True)
@@ -119,7 +119,7 @@ def base_rows(part: pa.RecordBatch, how: Near) -> pa.RecordBatch:
         return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * values.shape[1]), pa.array(values.astype(np.int64).ravel()))
 
     nodes = pa.array([node_of(t) for t in texts.to_pylist()], pa.int64(), mask=~has)
-    return pa.record_batch([part.column("doc_id"), nodes, lists(bands.view(np.int64)), lists(bits)], names=["doc_id", "node", "bands", "sketch"])
+    return pa.record_batch([part.column("doc_id"), part.column("tag"), nodes, lists(bands.view(np.int64)), lists(bits)], names=["doc_id", "tag", "node", "bands", "sketch"])
 
 
 def packed_rows(part: pa.RecordBatch, how: Near) -> pa.RecordBatch:
@@ -224,9 +224,9 @@ def far_apart(a: str, b: str, words: int) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(words)), F.lit(0))
 
 
-def near_classes(docs: DataFrame, how: Near = Near()) -> DataFrame:
-    """doc_id, class_id, class_size for each row of ``docs``."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+def grouped(docs: DataFrame, how: Near) -> tuple[DataFrame, DataFrame]:
+    """For each row of ``docs`` its doc_id, the JVM's hash of its text (tag) and its node; and each node's component."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tag"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,10 +261,29 @@ def near_classes(docs: DataFrame, how: Near = Near()) -> DataFrame:
         comps = stored(comps.join(moved.withColumnsRenamed({"id": "comp", "to": "new"}), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"), "sketch"), "comps")
         before, now = now, now * how.growth
     docs.sparkSession.sql(f"DROP TABLE IF EXISTS {sets.name}")
+    return base.select("doc_id", "tag", "node"), comps.select("node", "comp")
+
+
+def near_classes(docs: DataFrame, how: Near = Near()) -> DataFrame:
+    """doc_id, class_id, class_size for each row of ``docs``."""
+    base, comps = grouped(docs, how)
     node_class = base.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    node_class = node_class.join(comps.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    node_class = node_class.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sizes = node_class.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"))
     by_node = node_class.select("node", "comp").join(sizes, "comp").select("node", "class_id", "class_size")
     return base.select("doc_id", "node").join(by_node, "node", "left").select(
         "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")
     )
+
+
+def one_of_each(docs: DataFrame, how: Near = Near()) -> DataFrame:
+    """One document of each class, with all its columns: that of the smallest doc_id (a null comes last).
+
+    Rows that repeat both doc_id and text are one document; texts without words all stay."""
+    base, comps = grouped(docs, how)
+    own = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_tg_own")
+    first = F.min(F.struct(F.col("doc_id").isNull(), own, F.col("tag").alias("_tg_tag"))).alias("first")
+    chosen = base.where("node IS NOT NULL").join(comps, "node", "left").groupBy(F.coalesce("comp", "node")).agg(first).select("first._tg_own", "first._tg_tag")
+    chosen = chosen.union(base.where("node IS NULL").select(own, "tag").distinct())
+    keyed = docs.withColumns({"_tg_own": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_tg_tag": F.xxhash64("text")})
+    return keyed.join(chosen, ["_tg_own", "_tg_tag"], "left_semi").dropDuplicates(["_tg_own", "_tg_tag"]).select(*docs.columns)
