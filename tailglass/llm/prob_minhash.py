@@ -249,7 +249,8 @@ def grouped(docs: DataFrame, how: Near) -> tuple[DataFrame, DataFrame]:
         members = stored(current.where(F.col("n") > before).join(open_, "bucket", "left_semi"), "members")
         if members.isEmpty():
             break
-        turn = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("n")
+        # a text's turn is the same share of n in all buckets: those of one group have the same pivots, and their pairs coincide
+        turn = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("n")
         pivots = members.where((turn >= before) & (turn < now)).select("bucket", F.col("node").alias("pivot"), F.col("comp").alias("other"), F.col("sketch").alias("mark"))
         close = (F.col("comp") != F.col("other")) & (far_apart("sketch", "mark", how.registers // 64) <= how.distance)
         pairs = members.join(pivots, "bucket").where(close)
