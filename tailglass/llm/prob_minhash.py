@@ -13,6 +13,11 @@ J_P.  Links join components, and a bucket with one component is done: what it co
 nothing.  The rounds go on until every bucket is done or all its texts have been pivots, so no link of a
 bucket between components is lost, and dense groups never make all their pairs.
 
+After the first round, what no other text of the open buckets has is counted for each text.  With P and Q the
+shares of two texts' weights that they can have in common at most, J_P <= PQ / (P + Q - PQ): pairs for which
+that is below the threshold are no links, texts with too much of their own go, and those with least of their
+own are the first pivots.
+
 Defined results: texts without words (null too) are in a class of their own; exact copies are one node from the
 start; equal or null doc_ids are separate rows; class_id is the smallest doc_id of the class (null if it has
 none); other columns are not read; an empty table gives an empty table.
@@ -30,9 +35,14 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .block_anchors import BACK, SENT, B, G, meet, places_of, returned, send
 from .common import U64, mix, scratch, slices, split_words, spread, stored, windows, word_hashes
 
+LONELY = "node long, own long, weight long, lone long, lone_weight long"
+#: Bytes of shingles in a group, and levels that texts are ranked in by what is theirs alone.
+GROUP_BYTES, LEVELS = 4 << 20, 16
 BASE = "doc_id long, tag long, node long, bands array<long>, sketch array<long>"
 
 
@@ -133,6 +143,11 @@ def packed_rows(part: pa.RecordBatch, how: Near) -> pa.RecordBatch:
     return pa.record_batch([pa.array([node_of(t) for t in texts.to_pylist()], pa.int64()), pa.array(sizes), pa.array(sets, pa.binary())], names=["node", "size", "shingles"])
 
 
+def opened(size: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles and counts out of what ``packed_rows`` made."""
+    return np.frombuffer(data, U64, size), np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8 * size :]), np.uint32)
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """J_P of two weighted sets: the sum over common i of 1 / sum_j max(a_j / a_i, b_j / b_i)."""
     keys = np.concatenate([a[0], b[0]])
@@ -149,10 +164,6 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def compare(pairs: pa.Table, pivots: pa.Table, threshold: float) -> pa.Table:
     """The pairs (node, pivot) that are similar enough; node's set is in ``pairs``, pivot's in ``pivots``."""
-
-    def opened(size: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(data, U64, size), np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8 * size :]), np.uint32)
-
     sets = {k: opened(n, data) for k, n, data in zip(*(pivots.column(x).to_pylist() for x in ("the_pivot", "pivot_size", "pivot_shingles")), strict=True)}
     good = [
         (u, v)
@@ -180,6 +191,24 @@ class Sets:
         rows.write.option("path", scratch(spark, "sets")).bucketBy(self.parts, "node").sortBy("node").saveAsTable(self.name)
         self.spark = spark
 
+    def lonely(self, nodes: DataFrame) -> DataFrame:
+        """For each node its distinct shingles, their weight, and number and weight of those that no other of ``nodes`` has."""
+        rows = self.spark.table(self.name).join(nodes, "node", "left_semi")
+        groups = max(self.parts, -(-(rows.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0) // GROUP_BYTES))
+        dealt = rows.withColumn(G, F.pmod(F.xxhash64("node"), F.lit(groups)).cast("int"))
+
+        def sets_of(part: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+            return [opened(n, data) for n, data in zip(part.column("size").to_pylist(), part.column("shingles").to_pylist(), strict=True)]
+
+        def count(part: pa.Table, back: pa.Table) -> pa.Table:
+            common = returned(back)[0]
+            found = [(len(keys), int(counts.sum()), int((own := places_of(keys, common) < 0).sum()), int(counts[own].sum())) for keys, counts in sets_of(part)]
+            return pa.table([part.column("node"), *(pa.array([x[i] for x in found], pa.int64()) for i in range(4))], names=[x.split()[0] for x in LONELY.split(", ")])
+
+        sent = dealt.groupBy(G).applyInArrow(lambda key, part: send(key[0].as_py(), np.concatenate([k for k, _ in sets_of(part)]), groups, 64), SENT)
+        back = sent.groupBy(B).applyInArrow(lambda part: meet(part, False), BACK)
+        return dealt.groupBy(G).cogroup(back.groupBy(G)).applyInArrow(count, LONELY)
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs (node, pivot) with a similarity at or above the threshold."""
         how, chunk = self.how, 256
@@ -224,6 +253,30 @@ def far_apart(a: str, b: str, words: int) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(words)), F.lit(0))
 
 
+def ceiling(a: str, b: str) -> Column:
+    """What J_P of two texts can be at most, from what is theirs alone; a and b: prefixes of the columns of LONELY."""
+    col = lambda p, name: F.col(p + name).cast("double")
+    common = F.least(col(a, "own") - col(a, "lone"), col(b, "own") - col(b, "lone"))
+    # a shingle counts once, and what repeats within a text may all be of common ones
+    p, q = (F.least(1 - col(x, "lone_weight") / col(x, "weight"), (common + col(x, "weight") - col(x, "own")) / col(x, "weight")) for x in (a, b))
+    return F.when((p > 0) & (q > 0), p * q / (p + q - p * q)).otherwise(0.0)
+
+
+def by_turn(members: DataFrame, facts: DataFrame, how: Near) -> DataFrame:
+    """Members of open buckets that may have links, with their facts and turns: those with least of their own come first."""
+    rows = members.select("bucket", "node").join(facts, "node").where(F.col("lone_weight") <= (1 - how.threshold + 1e-9) * F.col("weight"))
+    rows = rows.withColumn("level", F.floor(F.col("lone_weight") / F.col("weight") / (1 - how.threshold + 1e-9) * LEVELS))
+    levels = rows.groupBy("bucket", "level").agg(F.count("*").alias("here"))
+    up_to = Window.partitionBy("bucket").orderBy("level")  # LEVELS + 1 rows a bucket at most
+    levels = levels.withColumns({"ahead": F.sum("here").over(up_to) - F.col("here"), "n": F.sum("here").over(Window.partitionBy("bucket"))})
+    return rows.join(levels, ["bucket", "level"]).withColumn("turn", F.col("ahead") + share("node") * F.col("here")).drop("level", "here", "ahead")
+
+
+def share(node: str) -> Column:
+    """A place in [0, 1) that a text has in all its buckets, so that those of one group have the same pivots."""
+    return F.pmod(F.xxhash64(node), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
 def grouped(docs: DataFrame, how: Near) -> tuple[DataFrame, DataFrame]:
     """For each row of ``docs`` its doc_id, the JVM's hash of its text (tag) and its node; and each node's component."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tag"))
@@ -237,23 +290,28 @@ def grouped(docs: DataFrame, how: Near) -> tuple[DataFrame, DataFrame]:
     nodes = base.where("node IS NOT NULL").dropDuplicates(["node"])
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(rows.join(shared, "bucket").select("bucket", "node", "n"), "members")
+    members = stored(rows.join(shared, "bucket").select("bucket", "node", "n", (share("node") * F.col("n")).alias("turn")), "members")
     inside = members.select("node").distinct()
     comps = stored(nodes.join(inside, "node", "left_semi").select("node", F.col("node").alias("comp"), "sketch"), "comps")
     wanted = stored(base.join(inside, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
-    sets, before, now = Sets(docs, wanted, how), 0, how.pivots
+    sets, before, now, facts = Sets(docs, wanted, how), 0, how.pivots, None
     while True:
-        current = members.select("bucket", "node", "n").join(comps, "node")
+        current = members.join(comps, "node")
         open_ = current.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
         # a bucket all of whose texts have been pivots has nothing left to show
-        members = stored(current.where(F.col("n") > before).join(open_, "bucket", "left_semi"), "members")
+        members = stored(current.where(F.col("n") > before).join(open_, "bucket", "left_semi").drop("comp", "sketch"), "members")
         if members.isEmpty():
             break
-        # a text's turn is the same share of n in all buckets: those of one group have the same pivots, and their pairs coincide
-        turn = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("n")
-        pivots = members.where((turn >= before) & (turn < now)).select("bucket", F.col("node").alias("pivot"), F.col("comp").alias("other"), F.col("sketch").alias("mark"))
+        if before and facts is None:
+            facts = stored(sets.lonely(members.select("node").distinct()), "lonely")
+            members, before = stored(by_turn(members, facts, how), "members"), 0
+        current = members.join(comps, "node")
+        mark = {"node": "pivot", "comp": "other", "sketch": "mark"} | {x: f"pivot_{x}" for x in members.columns if x in ("own", "weight", "lone", "lone_weight")}
+        pivots = current.where((F.col("turn") >= before) & (F.col("turn") < now)).select("bucket", *(F.col(x).alias(y) for x, y in mark.items()))
         close = (F.col("comp") != F.col("other")) & (far_apart("sketch", "mark", how.registers // 64) <= how.distance)
-        pairs = members.join(pivots, "bucket").where(close)
+        if facts is not None:
+            close &= ceiling("", "pivot_") >= how.threshold - 1e-9
+        pairs = current.join(pivots, "bucket").where(close)
         # either may be the pivot of the pair; the one with the smaller number is, so that a pair is verified once
         pairs = stored(pairs.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct(), "pairs")
         links = sets.verified(pairs)

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from tailglass.llm.prob_minhash import labels, near_classes, shingles, signatures, similarity
+from tailglass.llm.prob_minhash import Near, ceiling, labels, near_classes, shingles, signatures, similarity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -78,6 +78,36 @@ def test_registers_estimate_jp():
     assert abs(share - 3 * (x[1] == 3).sum() / x[1].sum()) < 0.04
 
 
+def test_ceiling_is_above_jp(spark):
+    """Of any two texts, whatever is known to be theirs alone."""
+    rng, rows = random.Random(5), []
+    for _ in range(300):
+        common = {f"c{i}": None for i in range(rng.randrange(1, 30))}
+        x, y = ({k: rng.choice([1, 1, 1, 2, 5]) for k in [*common, *(f"{name}{i}" for i in range(rng.randrange(12)))]} for name in "xy")
+        facts = []
+        for z in (x, y):
+            lone = [k for k in z if k not in common and rng.random() < 0.8]
+            facts += [len(z), sum(z.values()), len(lone), sum(z[k] for k in lone)]
+        rows.append((jp(Counter(x), Counter(y)), *facts))
+    names = [p + n for p in ("", "pivot_") for n in ("own", "weight", "lone", "lone_weight")]
+    got = spark.createDataFrame(rows, ["exact", *names]).select("exact", ceiling("", "pivot_").alias("most")).collect()
+    assert all(r.exact <= r.most + 1e-9 for r in got) and sum(r.most < 0.8 for r in got) > 50
+
+
+def test_a_group_of_many_rounds(spark):
+    """Copies of one text with one to seven new words each: many of them are no links, and share buckets with all."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for k in rng.sample(range(150), 1 + i % 7):
+            words[k] = f"n{i}-{k}"
+        rows.append((i, " ".join(words)))
+    got = near_classes(spark.createDataFrame(rows, "doc_id long, text string"), Near(pivots=2)).collect()
+    assert Counter((r.doc_id, r.class_id) for r in got) == classes(rows)
+
+
 def test_labels(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 99), (99, 98), (200, 200), (301, 300), (300, 301)]
     got = {r.id: r.to for r in labels(spark.createDataFrame(links, "a long, b long")).collect()}
