@@ -108,6 +108,24 @@ def test_a_group_of_many_rounds(spark):
     assert Counter((r.doc_id, r.class_id) for r in got) == classes(rows)
 
 
+def test_short_and_repetitive_pairs_match_brute_force(spark):
+    """J_P from 0.8 to 0.85 where one shingle, or few, fill most registers: no pair may fail the filter by their bits."""
+    rows = []
+    for i in range(300):
+        n, x, few = 8 + i % 4, f"x{i}", [f"y{i}-{j}" for j in range(5)]
+        run = [x] * (n + 4)
+        twins = (
+            (run, [*run, f"a{i}", f"b{i}"]),
+            ([*run, f"a{i}"], [*run, f"b{i}"]),
+            ([*few * 3, few[0]], [*few * 3, few[0], f"a{i}", *[f"b{i}"] * (i % 2)]),
+        )[i % 3]
+        rows += [(2 * i + k, " ".join(t)) for k, t in enumerate(twins)]
+    exact = [jp(bag(rows[k][1]), bag(rows[k + 1][1])) for k in range(0, len(rows), 2)]
+    assert all(0.8 - 1e-9 <= x <= 0.93 for x in exact) and sum(x <= 0.85 for x in exact) >= 200
+    got = near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.class_id) for r in got) == classes(rows)
+
+
 def test_labels(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 99), (99, 98), (200, 200), (301, 300), (300, 301)]
     got = {r.id: r.to for r in labels(spark.createDataFrame(links, "a long, b long")).collect()}
