@@ -267,8 +267,7 @@ def fingerprints(spark, d):
 
 @query("SELECT doc_id, sha256(substring(text, greatest(strlen(text) - 4096, 0) + 1)) AS anchor FROM documents WHERE strlen(text) = length(text)")
 def anchors(spark, d):
-    docs = table(spark, d, "documents").where(F.octet_length("text") == F.length("text"))
-    return docs.select("doc_id", T.anchor(F.col("text"), F.octet_length("text")).alias("anchor"))
+    return table(spark, d, "documents").select("doc_id", T.anchor(F.col("text"), F.octet_length("text")).alias("anchor"))
 
 
 @query(r"SELECT page_id, regexp_replace(replace(html || chr(13) || chr(7), chr(13), ''), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', chr(65533), 'g') AS text FROM pages")

@@ -1,6 +1,8 @@
 import bz2
 import gzip
+import hashlib
 import lzma
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from tailglass.operators.counts import file_counts
 from tailglass.operators.matching import matched
 from tailglass.operators.report import report_lines
 from tailglass.operators.rules import Pattern, Watch, tagged
+from tailglass.queries import QUERIES
 from tailglass.sources.loglines import read_lines
 from tailglass.sources.tables import lines_of_text
 from tailglass.streaming.watch import appended, rolling_counts, watch_stream
@@ -168,3 +171,11 @@ def test_stream(spark, tmp_path):
     query = rolling_counts(lines(), watch).writeStream.format("memory").queryName("rolling").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.file, r.matched) for r in spark.table("rolling").collect()} == {(1, 1), (2, 0), (3, 1)}
+
+
+def test_anchors_of_all_documents_match_hashlib(spark, tmp_path):
+    """A row for each document; multi-byte characters may lie across the edge of the last 4096 bytes."""
+    texts = ["plain", "", None, "é", "a" * 4095 + "é", "é" + "a" * 4095, "b" + "日本" * 2000, "😀" * 1024, "c" + "😀" * 1024, "ab" + "😀" * 1024, "x" * 9000 + "ß\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((r.doc_id, r.anchor) for r in QUERIES["anchors"](spark, str(tmp_path)).collect())
+    assert got == Counter((k, None if t is None else hashlib.sha256(t.encode()[-4096:]).hexdigest()) for k, t in enumerate(texts))
