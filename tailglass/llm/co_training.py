@@ -9,11 +9,12 @@ combined there, and every document is scored.
 Two targets are learned in the same way: quality and toxicity.  A document is kept if it is rather good than
 not and rather not toxic.
 
-Bounds (parameters): ``labelled`` rows with labels and a ``pool`` without, the first by a hash of doc_id; their
-features come to the driver, where the models are fitted.  Scoring reads all documents whole, once, without
-shuffle.
+Bounds (parameters): ``labelled`` doc_ids with labels and a ``pool`` without, the first by a hash of doc_id; the
+features of one row for each come to the driver, where the models are fitted.  Scoring reads all documents whole,
+once, without shuffle.
 
 Defined results: null or empty text has no words, and the metadata decide; null doc_ids are scored and not
+learned from; of several rows for one doc_id, all scored, the one with the least hash of text, source and language is
 learned from; of several label rows for one doc_id the largest values count, null labels are no labels; with no
 label, or labels of one kind only, every score is the share of ones (0.5 without any); other columns are not
 read; an empty table gives an empty table.
@@ -247,11 +248,15 @@ def train(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining()) ->
     by = F.xxhash64("doc_id"), F.col("doc_id")
     chosen = one.orderBy(*by).limit(how.labelled).collect()
     # ids first, then the texts of those: a bounded list of ids is broadcast, not a table
-    free = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(*by).limit(how.labelled + how.pool).collect()
+    free = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(*by).limit(how.labelled + how.pool).collect()
     truth = {r.doc_id: (r.q, r.t) for r in chosen}
-    wanted = [*truth, *list(dict.fromkeys(r.doc_id for r in free if r.doc_id not in truth))[: how.pool]]
+    wanted = [*truth, *[r.doc_id for r in free if r.doc_id not in truth][: how.pool]]
     ids = docs.sparkSession.createDataFrame([(k,) for k in wanted], "wanted long")
-    rows = docs.join(F.broadcast(ids), docs["doc_id"] == ids["wanted"], "left_semi").mapInArrow(lambda b: sampled(b, how), "doc_id long, features binary, measures binary")
+    rows = docs.join(F.broadcast(ids), docs["doc_id"] == ids["wanted"], "left_semi")
+    # a doc_id is one row, however often it occurs: each task sends its least, so a hot doc_id is not moved as a whole
+    read = "text", "source", "lang"
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64(*read).alias("hash"), *read)).alias("least")).select("doc_id", *(f"least.{c}" for c in read))
+    rows = rows.mapInArrow(lambda b: sampled(b, how), "doc_id long, features binary, measures binary")
     found = sorted(rows.collect(), key=lambda r: (r.doc_id, bytes(r.features)))
     views = Views(found, how)
     targets = []

@@ -38,6 +38,25 @@ def test_rounds_teach_the_other_view(spark, docs01, sf_dir):
         assert sum(good.rounds[-1]) > sum(good.rounds[0])
 
 
+def test_a_repeated_doc_id_is_learned_from_once(spark, docs01, sf_dir):
+    """Hundreds of rows of one doc_id, with a label or with the least hash of those without, change nothing."""
+    docs, labels = docs01.select("doc_id", "text", "source", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    how = CoTraining(labelled=60, pool=30)
+    by = F.xxhash64("doc_id"), F.col("doc_id")
+    labelled = labels.orderBy(*by).first().doc_id
+    free = docs.join(labels, "doc_id", "left_anti").orderBy(*by).first().doc_id
+    hot = docs.where(F.col("doc_id").isin(labelled, free)).crossJoin(spark.range(200)).drop("id")
+    # other texts for the same doc_ids, all with a greater hash
+    bound = {r.doc_id: r.h for r in docs.where(F.col("doc_id").isin(labelled, free)).select("doc_id", F.xxhash64("text", "source", "lang").alias("h")).collect()}
+    other = spark.range(100).select(F.explode(F.array(F.lit(labelled), F.lit(free))).alias("doc_id"), F.concat(F.lit("other "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"))
+    over = F.when(F.col("doc_id") == labelled, bound[labelled]).otherwise(bound[free])
+    other = other.where(F.xxhash64("text", "source", "lang") > over)
+    want, got = train(docs, labels, how), train(docs.union(hot).union(other), labels, how)
+    assert np.array_equal(want[0], got[0])
+    for x, y in zip(want[1:], got[1:], strict=True):
+        assert x.rounds == y.rounds and all(np.array_equal(m.weights, n.weights) for m, n in zip(x.models, y.models, strict=True))
+
+
 def test_sparse_regression_against_dense_gradient():
     rng = np.random.default_rng(1)
     x = rng.random((400, 6)) < 0.4
