@@ -1,8 +1,9 @@
 """A Spark data source of log lines: one partition for each stretch of a file, from a byte offset on.
 
 ``spark.dataSource.register(LogLines)``, then ``spark.read.format("loglines").option("segments", json).load()``;
-segments is a JSON list of {file, path, seg, start, number, history}.  Paths are on a file system that all
-executors mount; tables in other stores are read by Spark's own sources.
+segments is a JSON list of {file, path, seg, start, number}.  Paths are on a file system that all executors mount;
+tables in other stores are read by Spark's own sources.  Not there: lines before ``start`` as history rows, so a hit
+just after it has no context before it; ranges of one large file, which is one task.
 
 Lines end in \\n; one \\r before it goes; only complete lines come, but a line over 16,000 bytes comes as far as
 that without its end.  A line is cut above 2000 bytes and decoded in pieces of that size.  NULs at a line's start
