@@ -6,17 +6,18 @@ registers; a register keeps the shingle that arrives first.  Two texts agree in
 probability Jaccard similarity J_P of their weights.  Arrivals after a time by which all registers are surely
 full cannot matter, so the processes end there; where a register is still empty the time is doubled.
 
-Bands of seven registers deal the distinct texts into buckets.  Links are looked for bucket by bucket in
-rounds: a growing share of a bucket's texts are its pivots, texts of other components are compared with them,
-first by one bit a register (a filter that a pair at the threshold fails once in 14,000), then exactly by
-J_P.  Links join components, and a bucket with one component is done: what it could still show changes
-nothing.  The rounds go on until every bucket is done or all its texts have been pivots, so no link of a
-bucket between components is lost, and dense groups never make all their pairs.
-
-After the first round, what no other text of the open buckets has is counted for each text.  With P and Q the
-shares of two texts' weights that they can have in common at most, J_P <= PQ / (P + Q - PQ): pairs for which
-that is below the threshold are no links, texts with too much of their own go, and those with least of their
-own are the first pivots.
+Bands of seven registers deal the distinct texts into buckets.  What no other text of any bucket has is counted
+for each text, and all else it has is marked in a bitmap, a bit for each shingle's hash.  A bit that only one of
+two texts has stands for a shingle that only it has, so these facts bound the shares P and Q of two texts'
+weights that they can have in common, and J_P <= PQ / (P + Q - PQ): pairs for which that is below the threshold
+are no links, texts with too much of their own go, and those with least of their own are the first pivots.
+
+Links are looked for bucket by bucket in rounds: a growing share of a bucket's texts are its pivots, texts of
+other components are compared with them, first by that bound and by one bit a register (a filter that a pair at
+the threshold fails once in 14,000), then exactly by J_P.  Links join components, and a bucket with one component
+is done: what it could still show changes nothing.  The rounds go on until every bucket is done or all its texts
+have been pivots, so no link of a bucket between components is lost.  Groups that links join never make all their
+pairs; of copies with too many edits to be links the bound leaves few pairs, though each is weighed in its bucket.
 
 Defined results: texts without words (null too) are in a class of their own; exact copies are one node from the
 start; equal or null doc_ids are separate rows; class_id is the smallest doc_id of the class (null if it has
@@ -31,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -40,10 +42,14 @@ from pyspark.sql.window import Window
 from .block_anchors import BACK, SENT, B, G, meet, places_of, returned, send
 from .common import U64, mix, scratch, slices, split_words, spread, stored, windows, word_hashes
 
-LONELY = "node long, own long, weight long, lone long, lone_weight long"
+LONELY = "node binary, own long, weight long, lone long, lone_weight long, marks array<long>"
 #: Bytes of shingles in a group, and levels that texts are ranked in by what is theirs alone.
 GROUP_BYTES, LEVELS = 4 << 20, 16
-BASE = "doc_id long, tag long, node long, bands array<long>, sketch array<long>"
+#: Words of 64 bits in a text's bitmap: plenty for a few hundred shingles; the bits of long texts fill up and tell less.
+MARKS = 16
+#: Bytes of text for each file of shingles, about.
+FILE_BYTES = 32 << 20
+BASE = "doc_id long, tag long, node binary, bytes long, bands array<long>, sketch array<long>"
 
 
 @dataclass(frozen=True)
@@ -57,7 +63,7 @@ class Near:
     #: Bits that may differ: 4 standard deviations above the mean at the threshold.
     distance: int = 45
     #: Pivots of a bucket in the first round, and their growth from round to round.
-    pivots: int = 4
+    pivots: int = 1
     growth: int = 8
 
 
@@ -111,9 +117,9 @@ def signatures(text: np.ndarray, keys: np.ndarray, weights: np.ndarray, n: int,
     return out, todo
 
 
-def node_of(text: str | None) -> int:
-    """A number for the exact text."""
-    return xxhash.xxh3_64_intdigest((text or "").encode(), 77) - 2**63
+def nodes_of(texts: pa.Array) -> list[bytes]:
+    """The exact texts' names: 128 bits of hash, so that no two texts of any corpus share one."""
+    return [xxhash.xxh3_128_digest((t or "").encode(), 77) for t in texts.to_pylist()]
 
 
 def base_rows(part: pa.RecordBatch, how: Near) -> pa.RecordBatch:
@@ -129,8 +135,9 @@ def base_rows(part: pa.RecordBatch, how: Near) -> pa.RecordBatch:
     def lists(values: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * values.shape[1]), pa.array(values.astype(np.int64).ravel()))
 
-    nodes = pa.array([node_of(t) for t in texts.to_pylist()], pa.int64(), mask=~has)
-    return pa.record_batch([part.column("doc_id"), part.column("tag"), nodes, lists(bands.view(np.int64)), lists(bits)], names=["doc_id", "tag", "node", "bands", "sketch"])
+    nodes = pa.array([x if y else None for x, y in zip(nodes_of(texts), has.tolist(), strict=True)], pa.binary())
+    sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+    return pa.record_batch([part.column("doc_id"), part.column("tag"), nodes, sizes, lists(bands.view(np.int64)), lists(bits)], names=["doc_id", "tag", "node", "bytes", "bands", "sketch"])
 
 
 def packed_rows(part: pa.RecordBatch, how: Near) -> pa.RecordBatch:
@@ -141,7 +148,7 @@ def packed_rows(part: pa.RecordBatch, how: Near) -> pa.RecordBatch:
     pack = zstandard.ZstdCompressor(level=1).compress
     sets = [keys[a:b].tobytes() + pack(counts[a:b].astype(np.uint32).tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     sizes = np.diff(ends)
-    return pa.record_batch([pa.array([node_of(t) for t in texts.to_pylist()], pa.int64()), pa.array(sizes), pa.array(sets, pa.binary())], names=["node", "size", "shingles"])
+    return pa.record_batch([pa.array(nodes_of(texts), pa.binary()), pa.array(sizes), pa.array(sets, pa.binary())], names=["node", "size", "shingles"])
 
 
 def opened(size: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +178,14 @@ def compare(pairs: pa.Table, pivots: pa.Table, threshold: float) -> pa.Table:
         for u, v, n, data in zip(*(pairs.column(x).to_pylist() for x in ("node", "pivot", "size", "shingles")), strict=True)
         if v in sets and similarity(opened(n, data), sets[v]) >= threshold - 1e-12
     ]
-    return pa.table([pa.array([u for u, _ in good], pa.int64()), pa.array([v for _, v in good], pa.int64())], names=["node", "pivot"])
+    return pa.table([pa.array([u for u, _ in good], pa.binary()), pa.array([v for _, v in good], pa.binary())], names=["node", "pivot"])
+
+
+def marks_of(keys: np.ndarray) -> list[int]:
+    """A bit for each key, by its hash."""
+    bits = np.zeros(64 * MARKS, np.uint8)
+    bits[(mix(keys) % U64(64 * MARKS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
 
 
 class Sets:
@@ -179,7 +193,8 @@ class Sets:
 
     def __init__(self, docs: DataFrame, wanted: DataFrame, how: Near):
         spark, self.how = docs.sparkSession, how
-        self.name, self.parts = f"tg_sets_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n_bytes = wanted.agg(F.sum("bytes")).first()[0] or 0
+        self.name, self.parts = f"tg_sets_{uuid.uuid4().hex}", max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // FILE_BYTES))
         one = docs.join(wanted.withColumnRenamed("doc_id", "wanted_id").select("wanted_id").distinct(), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,14 +202,14 @@ class Sets:
                 for part in slices(batch, "text"):
                     yield packed_rows(part, how)
 
-        rows = one.select("text").mapInArrow(step, "node long, size long, shingles binary").repartition(self.parts, "node")
+        rows = one.select("text").mapInArrow(step, "node binary, size long, shingles binary").repartition(self.parts, "node")
         rows = rows.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
         rows.write.option("path", scratch(spark, "sets")).bucketBy(self.parts, "node").sortBy("node").saveAsTable(self.name)
         self.spark = spark
 
-    def lonely(self, nodes: DataFrame) -> DataFrame:
-        """For each node its distinct shingles, their weight, and number and weight of those that no other of ``nodes`` has."""
-        rows = self.spark.table(self.name).join(nodes, "node", "left_semi")
+    def facts(self) -> DataFrame:
+        """For each node its distinct shingles, their weight, number and weight of those that no other has, and a bitmap of the others."""
+        rows = self.spark.table(self.name)
         groups = max(self.parts, -(-(rows.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0) // GROUP_BYTES))
         dealt = rows.withColumn(G, F.pmod(F.xxhash64("node"), F.lit(groups)).cast("int"))
 
@@ -202,9 +217,12 @@ class Sets:
             return [opened(n, data) for n, data in zip(part.column("size").to_pylist(), part.column("shingles").to_pylist(), strict=True)]
 
         def count(part: pa.Table, back: pa.Table) -> pa.Table:
-            common = returned(back)[0]
-            found = [(len(keys), int(counts.sum()), int((own := places_of(keys, common) < 0).sum()), int(counts[own].sum())) for keys, counts in sets_of(part)]
-            return pa.table([part.column("node"), *(pa.array([x[i] for x in found], pa.int64()) for i in range(4))], names=[x.split()[0] for x in LONELY.split(", ")])
+            common, found = returned(back)[0], []
+            for keys, counts in sets_of(part):
+                own = places_of(keys, common) < 0
+                found.append((len(keys), int(counts.sum()), int(own.sum()), int(counts[own].sum()), marks_of(keys[~own])))
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+            return pa.table([part.column("node"), *(pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds))], names=[x.split()[0] for x in LONELY.split(", ")])
 
         sent = dealt.groupBy(G).applyInArrow(lambda key, part: send(key[0].as_py(), np.concatenate([k for k, _ in sets_of(part)]), groups, 64), SENT)
         back = sent.groupBy(B).applyInArrow(lambda part: meet(part, False), BACK)
@@ -221,7 +239,7 @@ class Sets:
         right = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select("pivot", group).distinct()
         right = right.join(self.spark.table(self.name).select(F.col("node").alias("pivot"), F.col("size").alias("pivot_size"), F.col("shingles").alias("pivot_shingles")), "pivot")
         right = right.withColumnRenamed("chunk", "pivot_chunk").withColumnRenamed("pivot", "the_pivot")
-        return left.groupBy("chunk").cogroup(right.groupBy("pivot_chunk")).applyInArrow(lambda a, b: compare(a, b, how.threshold), "node long, pivot long")
+        return left.groupBy("chunk").cogroup(right.groupBy("pivot_chunk")).applyInArrow(lambda a, b: compare(a, b, how.threshold), "node binary, pivot binary")
 
 
 def labels(links: DataFrame) -> DataFrame:
@@ -251,25 +269,31 @@ def labels(links: DataFrame) -> DataFrame:
 
 def far_apart(a: str, b: str, words: int) -> Column:
     """Bits in which two sketches differ."""
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(words)), F.lit(0))
+    return F.expr(" + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(words)))
+
+
+def least_inverse(a: str, b: str) -> Column:
+    """1 / J_P of two texts is at least this, by their facts; a and b: prefixes of the columns of LONELY.
+
+    As 1 / J_P >= 1 / P + 1 / Q - 1; null if one of the shares is none."""
+    both = f"least({a}own - {a}lone, {b}own - {b}lone)"
 
+    def inverse(p: str, q: str) -> str:
+        # the marks that q lacks are of shingles that it lacks; what is neither lone nor lacking may be common
+        only = " + ".join(f"bit_count({p}marks[{i}] & ~{q}marks[{i}])" for i in range(MARKS))
+        # a shingle counts once, and what repeats within a text may all be of common ones
+        return f"{p}weight / least({p}weight - {p}lone_weight - ({only}), {both} + {p}weight - {p}own)"
 
-def ceiling(a: str, b: str) -> Column:
-    """What J_P of two texts can be at most, from what is theirs alone; a and b: prefixes of the columns of LONELY."""
-    col = lambda p, name: F.col(p + name).cast("double")
-    common = F.least(col(a, "own") - col(a, "lone"), col(b, "own") - col(b, "lone"))
-    # a shingle counts once, and what repeats within a text may all be of common ones
-    p, q = (F.least(1 - col(x, "lone_weight") / col(x, "weight"), (common + col(x, "weight") - col(x, "own")) / col(x, "weight")) for x in (a, b))
-    return F.when((p > 0) & (q > 0), p * q / (p + q - p * q)).otherwise(0.0)
+    return F.expr(f"{inverse(a, b)} + {inverse(b, a)} - 1")
 
 
 def by_turn(members: DataFrame, facts: DataFrame, how: Near) -> DataFrame:
-    """Members of open buckets that may have links, with their facts and turns: those with least of their own come first."""
-    rows = members.select("bucket", "node").join(facts, "node").where(F.col("lone_weight") <= (1 - how.threshold + 1e-9) * F.col("weight"))
+    """Members of buckets that may have links, with their facts and turns: those with least of their own come first."""
+    rows = members.join(facts, "node").where(F.col("lone_weight") <= (1 - how.threshold + 1e-9) * F.col("weight"))
     rows = rows.withColumn("level", F.floor(F.col("lone_weight") / F.col("weight") / (1 - how.threshold + 1e-9) * LEVELS))
     levels = rows.groupBy("bucket", "level").agg(F.count("*").alias("here"))
     up_to = Window.partitionBy("bucket").orderBy("level")  # LEVELS + 1 rows a bucket at most
-    levels = levels.withColumns({"ahead": F.sum("here").over(up_to) - F.col("here"), "n": F.sum("here").over(Window.partitionBy("bucket"))})
+    levels = levels.withColumns({"ahead": F.sum("here").over(up_to) - F.col("here"), "n": F.sum("here").over(Window.partitionBy("bucket"))}).where("n > 1")
     return rows.join(levels, ["bucket", "level"]).withColumn("turn", F.col("ahead") + share("node") * F.col("here")).drop("level", "here", "ahead")
 
 
@@ -290,38 +314,42 @@ def grouped(docs: DataFrame, how: Near) -> tuple[DataFrame, DataFrame]:
     base = stored(docs.mapInArrow(step, BASE), "signatures")
     nodes = base.where("node IS NOT NULL").dropDuplicates(["node"])
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(rows.join(shared, "bucket").select("bucket", "node", "n", (share("node") * F.col("n")).alias("turn")), "members")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    members = stored(rows.join(shared, "bucket").select("bucket", "node"), "members")
     inside = members.select("node").distinct()
     comps = stored(nodes.join(inside, "node", "left_semi").select("node", F.col("node").alias("comp"), "sketch"), "comps")
-    wanted = stored(base.join(inside, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
-    sets, before, now, facts = Sets(docs, wanted, how), 0, how.pivots, None
+    wanted = stored(base.join(inside, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bytes").alias("bytes")), "wanted")
+    sets = Sets(docs, wanted, how)
+    try:
+        comps = joined(members, comps, sets, how)
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {sets.name}")
+    return base.select("doc_id", "tag", "node"), comps.select("node", "comp")
+
+
+def joined(members: DataFrame, comps: DataFrame, sets: Sets, how: Near) -> DataFrame:
+    """``comps`` after all links between the members of each bucket."""
+    members = stored(by_turn(members, stored(sets.facts(), "facts"), how), "members")
+    before, now = 0, how.pivots
     while True:
         current = members.join(comps, "node")
         open_ = current.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
         # a bucket all of whose texts have been pivots has nothing left to show
         members = stored(current.where(F.col("n") > before).join(open_, "bucket", "left_semi").drop("comp", "sketch"), "members")
         if members.isEmpty():
-            break
-        if before and facts is None:
-            facts = stored(sets.lonely(members.select("node").distinct()), "lonely")
-            members, before = stored(by_turn(members, facts, how), "members"), 0
+            return comps
         current = members.join(comps, "node")
-        mark = {"node": "pivot", "comp": "other", "sketch": "mark"} | {x: f"pivot_{x}" for x in members.columns if x in ("own", "weight", "lone", "lone_weight")}
+        mark = {"node": "pivot", "comp": "other", "sketch": "mark"} | {x: f"pivot_{x}" for x in ("own", "weight", "lone", "lone_weight", "marks")}
         pivots = current.where((F.col("turn") >= before) & (F.col("turn") < now)).select("bucket", *(F.col(x).alias(y) for x, y in mark.items()))
-        close = (F.col("comp") != F.col("other")) & (far_apart("sketch", "mark", how.registers // 64) <= how.distance)
-        if facts is not None:
-            close &= ceiling("", "pivot_") >= how.threshold - 1e-9
+        close = (F.col("comp") != F.col("other")) & (far_apart("sketch", "mark", how.registers // 64) <= how.distance) & (least_inverse("", "pivot_") <= 1 / how.threshold + 1e-9)
         pairs = current.join(pivots, "bucket").where(close)
-        # either may be the pivot of the pair; the one with the smaller number is, so that a pair is verified once
+        # either may be the pivot of the pair; the one with the smaller name is, so that a pair is verified once
         pairs = stored(pairs.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct(), "pairs")
         links = sets.verified(pairs)
         own, other = comps.select("node", F.col("comp").alias("a")), comps.select(F.col("node").alias("pivot"), F.col("comp").alias("b"))
         moved = labels(links.join(own, "node").join(other, "pivot").select("a", "b"))
         comps = stored(comps.join(moved.withColumnsRenamed({"id": "comp", "to": "new"}), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"), "sketch"), "comps")
         before, now = now, now * how.growth
-    docs.sparkSession.sql(f"DROP TABLE IF EXISTS {sets.name}")
-    return base.select("doc_id", "tag", "node"), comps.select("node", "comp")
 
 
 def near_classes(docs: DataFrame, how: Near = Near()) -> DataFrame:

@@ -4,8 +4,9 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-from tailglass.llm.prob_minhash import Near, ceiling, labels, near_classes, shingles, signatures, similarity
+from tailglass.llm.prob_minhash import Near, labels, least_inverse, marks_of, near_classes, shingles, signatures, similarity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -16,7 +17,10 @@ def bag(text):
 
 
 def jp(x, y):
-    return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+    """The definition, 1 / sum_j max(x_j / x_i, y_j / y_i) over common i; that sum is x_i's share of one for each ratio x_i / y_i."""
+    common = x.keys() & y.keys()
+    sums = {r: sum(max(x[j], y[j] * r) for j in x.keys() | y.keys()) for r in {x[i] / y[i] for i in common}}
+    return sum(x[i] / sums[x[i] / y[i]] for i in common)
 
 
 def classes(rows):
@@ -78,20 +82,23 @@ def test_registers_estimate_jp():
     assert abs(share - 3 * (x[1] == 3).sum() / x[1].sum()) < 0.04
 
 
-def test_ceiling_is_above_jp(spark):
-    """Of any two texts, whatever is known to be theirs alone."""
+def test_the_bound_is_above_jp(spark):
+    """Of any two texts, whatever is known to be theirs alone and whatever is marked."""
     rng, rows = random.Random(5), []
-    for _ in range(300):
-        common = {f"c{i}": None for i in range(rng.randrange(1, 30))}
-        x, y = ({k: rng.choice([1, 1, 1, 2, 5]) for k in [*common, *(f"{name}{i}" for i in range(rng.randrange(12)))]} for name in "xy")
+    number = lambda k: int(xxhash.xxh3_64_intdigest(k))
+    for n in range(400):
+        size = 30 if n % 2 else 300
+        common = {f"c{i}": None for i in range(rng.randrange(1, size))}
+        x, y = ({k: rng.choice([1, 1, 1, 2, 5]) for k in [*common, *(f"{name}{i}" for i in range(rng.randrange(size // 2)))]} for name in "xy")
         facts = []
         for z in (x, y):
-            lone = [k for k in z if k not in common and rng.random() < 0.8]
-            facts += [len(z), sum(z.values()), len(lone), sum(z[k] for k in lone)]
+            lone = {k for k in z if k not in common and rng.random() < 0.5}
+            others = np.array([number(k) for k in z if k not in lone], np.uint64)
+            facts += [len(z), sum(z.values()), len(lone), sum(z[k] for k in lone), marks_of(others)]
         rows.append((jp(Counter(x), Counter(y)), *facts))
-    names = [p + n for p in ("", "pivot_") for n in ("own", "weight", "lone", "lone_weight")]
-    got = spark.createDataFrame(rows, ["exact", *names]).select("exact", ceiling("", "pivot_").alias("most")).collect()
-    assert all(r.exact <= r.most + 1e-9 for r in got) and sum(r.most < 0.8 for r in got) > 50
+    names = [f"{p}{n} {kind}" for p in ("", "pivot_") for n, kind in (("own", "long"), ("weight", "long"), ("lone", "long"), ("lone_weight", "long"), ("marks", "array<long>"))]
+    got = spark.createDataFrame(rows, ", ".join(["exact double", *names])).select("exact", (1 / least_inverse("", "pivot_")).alias("most")).collect()
+    assert all(r.exact <= (r.most or 0) + 1e-9 for r in got) and sum((r.most or 0) < 0.8 for r in got) > 150
 
 
 def test_a_group_of_many_rounds(spark):
