@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one slice of an Arrow batch may hold (a longer single text is a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 
 
@@ -23,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode (tests) one of its own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tailglass-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -44,6 +47,25 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give back memory that this worker has freed: workers live on, and the next task may be of another kind."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
+def tidy(step: Callable) -> Callable:
+    """A function for mapInArrow that releases memory at the end of its task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            release()
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Split a batch so that each part holds at most ``limit`` bytes of ``column``, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -67,7 +89,7 @@ def sliced(step: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text
                 if out.num_rows:
                     yield out
 
-    return run
+    return tidy(run)
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
