@@ -45,8 +45,9 @@ BANDS = (Band(256, 0.25, 1.00), Band(512, 0.20, 0.88), Band(1024, 0.16, 0.80), B
 
 @dataclass(frozen=True)
 class Limits:
-    """Base rule and bands.  A chunk is ``chunk_bytes`` of the text in UTF-8; a last part below half of that is no chunk.
-    A text fails if over ``chunk_share`` of its chunks are below ``chunk_low`` or over that share above ``chunk_high``."""
+    """Base rule and bands.  A chunk is ``chunk_bytes`` of the text in UTF-8; the last one reaches back to be as long, so
+    that every byte is in a chunk.  A text fails if over ``chunk_share`` of its chunks are below ``chunk_low`` or over
+    that share above ``chunk_high``.  A text below half a chunk is one chunk, whose limits are its band's."""
 
     min_words: int = 20
     repeat_percent: int = 30
@@ -96,20 +97,18 @@ def in_bands(data: bytes, limits: Limits, compressor: zstandard.ZstdCompressor)
     if not data:
         return True, None, None, None
     ratio = len(compressor.compress(data)) / len(data)
-    good = True
-    for band in limits.bands[::-1]:
-        if len(data) >= band.least:
-            good = band.low <= ratio <= band.high
-            break
+    band = next((b for b in limits.bands[::-1] if len(data) >= b.least), Band(0, 0, np.inf))  # below all bands: no verdict
+    good = band.low <= ratio <= band.high
     size = limits.chunk_bytes
-    chunks = [data[i : i + size] for i in range(0, len(data), size)]
-    if len(chunks[-1]) < size / 2:
-        chunks.pop()
-    if not chunks:
-        return good, ratio, None, None
-    ratios = [len(compressor.compress(c)) / len(c) for c in chunks] if len(chunks) > 1 or len(chunks[0]) < len(data) else [ratio]
-    low = sum(r < limits.chunk_low for r in ratios) / len(ratios)
-    high = sum(r > limits.chunk_high for r in ratios) / len(ratios)
+    if len(data) <= size:
+        least, most = (band.low, band.high) if 2 * len(data) < size else (limits.chunk_low, limits.chunk_high)
+        ratios = [ratio]
+    else:
+        least, most = limits.chunk_low, limits.chunk_high
+        starts = [*range(0, len(data) - size + 1, size), *([len(data) - size] if len(data) % size else [])]
+        ratios = [len(compressor.compress(data[i : i + size])) / size for i in starts]
+    low = sum(r < least for r in ratios) / len(ratios)
+    high = sum(r > most for r in ratios) / len(ratios)
     return good and low <= limits.chunk_share and high <= limits.chunk_share, ratio, low, high
 
 
