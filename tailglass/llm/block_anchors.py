@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, split_words, spread, windows, word_hashes
+from .common import U64, release, split_words, spread, windows, word_hashes
 
 WINDOW = 35
 #: Bytes of text in a group, and groups whose words a bucket gets.
@@ -245,7 +245,9 @@ def find_repeats(docs: DataFrame, finish: Callable[[Words, np.ndarray, pa.Table]
 
     def last(rows: pa.Table, hits: pa.Table) -> pa.Table:
         words = Words(rows)
-        return finish(words, plan.covered(words, hits), rows.drop_columns([G]))
+        out = finish(words, plan.covered(words, hits), rows.drop_columns([G]))
+        release()
+        return out
 
     return dealt.groupBy(G).cogroup(back.groupBy(G)).applyInArrow(last, schema)
 

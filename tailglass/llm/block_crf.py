@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 from .labelled_pages import LABELS, labelled
 from .page_blocks import Block, blocks
 
@@ -195,4 +195,4 @@ def extract(pages: DataFrame, model: Crf | None = None) -> DataFrame:
                 texts, sizes = zip(*main_text(part.column("html").to_pylist(), sent.value), strict=True)
                 yield pa.record_batch([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(sizes, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_blocks"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").mapInArrow(step, RESULT)
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").mapInArrow(tidy(step), RESULT)

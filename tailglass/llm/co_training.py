@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, split_words, spread
+from .common import slices, split_words, spread, tidy
 
 RESULT = "doc_id long, score double, quality double, toxic double, quality_text double, quality_metadata double, kept boolean"
 PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»¿¡“”„’‘…–—"
@@ -256,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining()) ->
     # a doc_id is one row, however often it occurs: each task sends its least, so a hot doc_id is not moved as a whole
     read = "text", "source", "lang"
     rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64(*read).alias("hash"), *read)).alias("least")).select("doc_id", *(f"least.{c}" for c in read))
-    rows = rows.mapInArrow(lambda b: sampled(b, how), "doc_id long, features binary, measures binary")
+    rows = rows.mapInArrow(tidy(lambda b: sampled(b, how)), "doc_id long, features binary, measures binary")
     found = sorted(rows.collect(), key=lambda r: (r.doc_id, bytes(r.features)))
     views = Views(found, how)
     targets = []
@@ -282,4 +282,4 @@ def quality(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining())
                 kept = pa.array((q >= 0.5) & (t < 0.5) | ((q >= 0.5) & toxic.flat & (toxic.share == 0.5)))
                 yield pa.record_batch([part.column("doc_id"), *map(pa.array, (q * (1 - t), q, t, q_text, q_metadata)), kept], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    return docs.mapInArrow(step, RESULT)
+    return docs.mapInArrow(tidy(step), RESULT)

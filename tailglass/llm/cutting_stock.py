@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices, stored
+from .common import slices, stored, tidy
 from .tokens import ENCODE_BYTES, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -151,7 +151,7 @@ def layout(counts: dict[int, int], how: Packing) -> dict[int, list[tuple[int, in
 def pack(docs: DataFrame, how: Packing = Packing()) -> DataFrame:
     """A row for each piece of each document, with its sequence and its offset there."""
     spark = docs.sparkSession
-    pieces = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: pieces_of(batches, how), PIECES), "pieces")
+    pieces = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(lambda batches: pieces_of(batches, how)), PIECES), "pieces")
     n = pieces.count()
     blocks = max(1, min(MOST_BLOCKS, n // BLOCK_ROWS))
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)).cast("int"))

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .block_anchors import BACK, SENT, B, G, meet, places_of, returned, send
-from .common import U64, mix, scratch, slices, split_words, spread, stored, windows, word_hashes
+from .common import U64, mix, scratch, slices, split_words, spread, stored, tidy, windows, word_hashes
 
 LONELY = "node binary, own long, weight long, lone long, lone_weight long, marks array<long>"
 #: Bytes of shingles in a group, and levels that texts are ranked in by what is theirs alone.
@@ -202,7 +202,7 @@ class Sets:
                 for part in slices(batch, "text"):
                     yield packed_rows(part, how)
 
-        rows = one.select("text").mapInArrow(step, "node binary, size long, shingles binary").repartition(self.parts, "node")
+        rows = one.select("text").mapInArrow(tidy(step), "node binary, size long, shingles binary").repartition(self.parts, "node")
         rows = rows.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
         rows.write.option("path", scratch(spark, "sets")).bucketBy(self.parts, "node").sortBy("node").saveAsTable(self.name)
         self.spark = spark
@@ -311,7 +311,7 @@ def grouped(docs: DataFrame, how: Near) -> tuple[DataFrame, DataFrame]:
             for part in slices(batch, "text", 1 << 20):
                 yield base_rows(part, how)
 
-    base = stored(docs.mapInArrow(step, BASE), "signatures")
+    base = stored(docs.mapInArrow(tidy(step), BASE), "signatures")
     nodes = base.where("node IS NOT NULL").dropDuplicates(["node"])
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")

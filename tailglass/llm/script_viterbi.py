@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, slices
+from .common import U64, mix, slices, tidy
 
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 SPANS = "doc_id long, start long, end long, lang string"
@@ -204,7 +204,7 @@ def train(docs: DataFrame, how: Languages = Languages()) -> Model:
             yield pa.record_batch([pa.array([lang]), pa.array([own[:, :-1].tobytes()], pa.binary()), pa.array([scripts.tobytes()], pa.binary())], names=["lang", "counts", "scripts"])
 
     counts, scripts = np.zeros((GRAMS, size, len(languages))), np.zeros((len(NAMES), len(languages)))
-    for row in chosen.mapInArrow(step, "lang string, counts binary, scripts binary").toLocalIterator():
+    for row in chosen.mapInArrow(tidy(step), "lang string, counts binary, scripts binary").toLocalIterator():
         j = languages.index(row.lang)
         counts[:, :, j] += np.frombuffer(bytes(row.counts), np.float32).reshape(GRAMS, size)
         scripts[:, j] += np.frombuffer(bytes(row.scripts))
@@ -238,7 +238,7 @@ def languages(docs: DataFrame, how: Languages = Languages(), model: Model | None
             pred = [names[b] if ok else "und" for b, ok in zip(best.tolist(), known.tolist(), strict=True)]
             yield pa.record_batch([part.column("doc_id"), part.column("held_out"), pa.array(pred, pa.string()), pa.array(np.where(known, share * sure, 0.0))], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(step, RESULT)
+    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(tidy(step), RESULT)
 
 
 def language_spans(docs: DataFrame, model: Model) -> DataFrame:
@@ -255,4 +255,4 @@ def language_spans(docs: DataFrame, model: Model) -> DataFrame:
                 names=["doc_id", "start", "end", "lang"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(step, SPANS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(step), SPANS)

@@ -19,10 +19,10 @@ import pyarrow.compute as pc
 from .common import split_words
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words in each of the two generations whose ids a worker keeps.
-CACHE_WORDS = 250_000
+#: Bytes of words and ids, with what Python adds, in each of the two generations that a worker keeps.
+CACHE_BYTES, OBJECT_BYTES = 28 << 20, 110
 #: Bytes of text to encode at once: a word that recurs within is looked up once.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 #: Words in one call of the library.
 JOINED = 200
 
@@ -48,7 +48,7 @@ class Encoder:
         self.ends[[n for t, n in vocabulary.items() if t.endswith("</w>")]] = True
         self.marks = [np.frombuffer(x, np.uint32) for x in self.ids([",", "."])]
         self.split_letters = self.ends.any() and all(len(x) == 1 for x in self.marks)
-        self.by_word, self.known, self.older = by_word, {}, {}
+        self.by_word, self.known, self.older, self.held = by_word, {}, {}, 0
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -126,23 +126,29 @@ class Encoder:
         return keys, plain, np.where(plain, last.to_numpy(zero_copy_only=False), -1)
 
     def _known(self, keys: list[str], letters: list[bool]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.known, self.older = {}, self.known
+        if self.held > CACHE_BYTES:
+            self.known, self.older, self.held = {}, self.known, 0
         own = list(map(self.known.get, keys))
         missing = [i for i, x in enumerate(own) if x is None]
         if self.older:
             for i in missing:
                 own[i] = self.older.get(keys[i])
-            self.known.update((keys[i], own[i]) for i in missing if own[i] is not None)
+            self._keep([(keys[i], own[i]) for i in missing if own[i] is not None])
             missing = [i for i in missing if own[i] is None]
         for kind, ids in ((True, self.ids_of_letters), (False, self.ids_of_words)):
             chosen = [i for i in missing if letters[i] == kind]
             words = [keys[i] for i in chosen]
             for i, found in zip(chosen, ids(words), strict=True):
                 own[i] = found
-            self.known.update(zip(words, (own[i] for i in chosen), strict=True))
+            self._keep([(keys[i], own[i]) for i in chosen])
         return own
 
+    def _keep(self, found: list[tuple[str, bytes]]) -> None:
+        """Remember words; one so long that it is no word stays out."""
+        found = [(k, v) for k, v in found if len(k) < 1000]
+        self.known.update(found)
+        self.held += sum(len(k) + len(v) + OBJECT_BYTES for k, v in found)
+
 
 def gather(ends: np.ndarray, flat: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of ``flat`` between ``ends``, one for each number in ``of``: their ends, and all in order."""

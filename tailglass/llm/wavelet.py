@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, slices
+from .common import scratch, slices, tidy
 from .tokens import ENCODE_BYTES, encoder
 
 MAGIC = b"TGWVLT01"
@@ -190,7 +190,7 @@ def write_tokens(docs: DataFrame, folder: str, end: int = 1, vocabulary: str | N
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, min(-(-n_bytes // shard_bytes), 1 << 20), docs.sparkSession.sparkContext.defaultParallelism)
     shards = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    written = shards.mapInArrow(lambda batches: write_shard(batches, folder, end, vocabulary), SHARDS)
+    written = shards.mapInArrow(tidy(lambda batches: write_shard(batches, folder, end, vocabulary)), SHARDS)
     return sorted((r.shard, r.tokens) for r in written.select("shard", "tokens").collect())  # a row for each file
 
 
@@ -209,7 +209,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.record_batch([pa.array(ids, pa.int64(), mask=nulls), pa.array(starts[:-1], pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(np.full(len(ids), shard, np.int32))], names=[x.split()[0] for x in DOCS.split(", ")])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wvlt").load(folder).select("path", "content")
-    return files.mapInArrow(step, DOCS)
+    return files.mapInArrow(tidy(step), DOCS)
 
 
 def token_files(docs: DataFrame, folder: str | None = None, end: int = 1, vocabulary: str | None = None) -> DataFrame:
