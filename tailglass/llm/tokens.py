@@ -22,7 +22,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Bytes of words and ids, with what Python adds, in each of the two generations that a worker keeps.
 CACHE_BYTES, OBJECT_BYTES = 28 << 20, 110
 #: Bytes of text to encode at once: a word that recurs within is looked up once.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
 #: Words in one call of the library.
 JOINED = 200
 
