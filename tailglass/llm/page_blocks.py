@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 #: Element names by kind (fixed values, HTML).
 BLOCKS = frozenset(
     "address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table"
-    " tbody td tfoot th thead title tr ul video audio iframe".split()
+    " tbody td textarea tfoot th thead title tr ul video audio iframe".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text of the page.
-RAW = frozenset("script style noscript template svg math textarea iframe object noembed noframes xmp".split())
+RAW = frozenset("script style noscript template svg iframe noembed noframes xmp".split())
+#: Of these, the ones whose content goes on to the end of the page where no end tag follows, as in a browser.
+TO_THE_END = frozenset("script style iframe noembed noframes xmp".split())
 #: A start tag of these ends an open p.
 ENDS_P = BLOCKS - frozenset("body button head html option optgroup title td th tr tbody thead tfoot caption".split())
 #: A start tag ends an open element of these, up to one of those.
@@ -28,7 +31,12 @@ ENDS = {
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "body": (frozenset(["head", "title"]), frozenset()),
 }
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<""", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: One attribute; what stands after "=" is quoted only if it begins with a quote.
+NEXT = re.compile(r"""[\s/]*(?:[^\s/>][^\s/>=]*)(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+))?""")
+#: Elements at either end of a deeper path that a block is described by.
+DEPTH = 100
+SPACE = re.compile(r"[\s/]*")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|aria-label|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 PART = re.compile(r"[a-z]+")
 
@@ -55,11 +63,42 @@ def words_of(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
+class Tags:
+    """The tags of a page, one after the other; each character is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes, self.ends = page, page.rfind(">"), True, {}
+
+    def close(self, at: int) -> tuple[int, bool]:
+        """Where the start tag whose name ends at ``at`` has its ">" (-1: it has none), and whether a "/" of its own stands before."""
+        page, end = self.page, self.page.find(">", at) if at <= self.last else -1
+        if end < 0 or not self.quotes or '"' not in (inside := page[at:end]) and "'" not in inside and "=" not in inside:
+            return end, end > 0 and page[end - 1] == "/" and end > at
+        while at < len(page):
+            space = SPACE.match(page, at).end()
+            if space < len(page) and page[space] == ">":
+                return space, space > at and page[space - 1] == "/"
+            if space == len(page):
+                break
+            at = NEXT.match(page, at).end()
+        self.quotes = False  # a quote is open to the end of the page: from here on the next ">" ends a tag
+        return end, False
+
+    def after(self, tag: str, at: int) -> tuple[int, int]:
+        """Where the next end tag of a kind begins and ends, or (-1, -1)."""
+        if self.ends.get(tag) == -1:
+            return -1, -1
+        found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(self.page, at)
+        self.ends[tag] = found.end() if found else -1
+        return found.span() if found else (-1, -1)
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks with text, in page order; white space is one space, character references are decoded."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
+    open_: Counter[str] = Counter()
     linked = marked = links = marks = 0
     page = page or ""
 
@@ -68,18 +107,22 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(x for x in stack if x[0] in BLOCKS), linked, marked))
+                around = stack if len(stack) <= 2 * DEPTH else stack[:DEPTH] + stack[-DEPTH:]
+                out.append(Block(text, tuple(x for x in around if x[0] in BLOCKS), linked, marked))
             parts.clear()
         linked = marked = 0
 
     def leave(depth: int) -> None:
         nonlocal links, marks
         for tag, _ in stack[depth:]:
+            open_[tag] -= 1
             links -= tag == "a"
             marks -= tag in ("b", "strong")
         del stack[depth:]
 
     def ended(names: frozenset, until: frozenset) -> None:
+        if not any(open_[x] for x in names):
+            return
         for depth in range(len(stack) - 1, -1, -1):
             if stack[depth][0] in until:
                 return
@@ -87,26 +130,48 @@ def blocks(page: str | None) -> list[Block]:
                 leave(depth)
                 return
 
-    at, size = 0, len(page)
+    def add(raw: str) -> None:
+        nonlocal linked, marked
+        raw = html.unescape(raw) if "&" in raw else raw
+        parts.append(raw)
+        linked += len(raw) if links > 0 else 0
+        marked += len(raw) if marks > 0 else 0
+
+    tags, at, size = Tags(page), 0, len(page)
     while at < size:
-        token = TOKEN.match(page, at)
-        at = token.end()
-        closing, tag, attributes = token.groups()
-        if tag is None:
-            raw = token[0]
-            if raw[0] != "<" or raw == "<":
-                raw = html.unescape(raw) if "&" in raw else raw
-                parts.append(raw)
-                linked += len(raw) if links > 0 else 0
-                marked += len(raw) if marks > 0 else 0
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = size if end < 0 else end
+            add(page[at:end])
+            at = end
+            continue
+        ahead = page[at + 1 : at + 2]
+        if ahead in ("!", "?"):
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 2)
+                at = size if end < 0 else max(end + 3, at + 5)
+            else:
+                end = page.find(">", at)
+                at = size if end < 0 else end + 1
+            continue
+        closing = ahead == "/"
+        name = NAME.match(page, at + 1 + closing)
+        if name is None and closing and at + 2 <= tags.last:  # no tag, and no text
+            at = page.find(">", at + 2) + 1
+            continue
+        end, bare = tags.close(name.end()) if name else (-1, False)
+        if end < 0:
+            add("<")
+            at += 1
             continue
-        tag = tag.lower()
+        tag, attributes = name[0].lower(), page[name.end() : end]
+        at = end + 1
         if closing:
             if tag in BLOCKS:
                 flush()
             elif tag == "br":
                 parts.append(" ")
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1, -1, -1) if open_[tag] else ():
                 if stack[depth][0] == tag:
                     leave(depth)
                     break
@@ -114,10 +179,11 @@ def blocks(page: str | None) -> list[Block]:
                     break
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
             if tag == "iframe":
                 flush()
-            at = end.end() if end else size
+            if not (bare and tag == "svg"):
+                _, end = tags.after(tag, at)
+                at = end if end >= 0 else size if tag in TO_THE_END and not bare else at
             continue
         if tag in BLOCKS:
             flush()
@@ -127,9 +193,15 @@ def blocks(page: str | None) -> list[Block]:
                 ended(*ENDS[tag])
         elif tag in VOID and tag in ("br", "img", "wbr", "input"):
             parts.append("" if tag == "wbr" else " ")
-        if tag not in VOID and not attributes.endswith("/"):
+        if tag not in VOID and not bare:
             stack.append((tag, words_of(attributes)))
+            open_[tag] += 1
             links += tag == "a"
             marks += tag in ("b", "strong")
+        if tag in ("textarea", "title") and not bare:  # text without tags
+            begin, _ = tags.after(tag, at)
+            if begin >= 0:
+                add(page[at:begin])
+                at = begin
     flush()
     return out

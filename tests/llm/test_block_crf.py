@@ -1,5 +1,7 @@
+import html.parser
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -24,6 +26,48 @@ def test_blocks():
     path = blocks('<div class="Post-Body x" ID=main><p hidden>t</p></div>')[0].path
     assert path == (("div", ("post", "body", "x", "main")), ("p", ("hidden",)))
     assert len(texts("<div>" * 3000 + "deep" + "</div>" * 3000)) == 1
+    # closed and unclosed elements without text of their own; content that is text; quotes anywhere in a tag
+    assert texts("<p>a<svg/>b</p><p>c</p>") == ["ab", "c"] == texts("<p>a<svg>b</p><p>c") and texts("a<script>x<p>") == ["a"]
+    assert texts('<script src="a"/>b<p>c') == ["b", "c"] and texts("<script/>a</script>b<style/>c") == ["bc"]
+    assert texts("<math>x+1</math> <object>alt</object><textarea>t<b></textarea>") == ["x+1 alt", "t<b>"]
+    assert texts("<p title=it's>hello") == texts("<p 'x\" y>hello") == texts("<p a='>' b=\"'>\" c>hello") == ["hello"]
+    assert [t for t, _ in blocks("<div data-u=/x/><p>in</p></div>")[0].path] == ["div", "p"] and not blocks("<div class=x />t")[0].path
+    assert texts("<p>a</>b<!-->c--><!--d-->e</ p>") == ["abc-->e"]
+
+
+@pytest.mark.parametrize("piece", ["<p title=it's>hello ", '<p a=" ', "<svg>", "<p ", "<!-- ", "</ ", "<textarea>", "<div>a", "<p 'x' \"y> ", "</b>", "<li>"])
+def test_a_long_page_takes_linear_time(piece):
+    def seconds(size):
+        start = time.process_time()
+        for tail in ("", "'>", '">'):
+            blocks(piece * (size // len(piece)) + tail)
+        return time.process_time() - start
+
+    assert seconds(1 << 20) < 12 * max(0.5, seconds(1 << 17))
+
+
+class Reader(html.parser.HTMLParser):
+    """Another reading of well-formed pages, by the standard library: text between tags that are not inline."""
+
+    def __init__(self):
+        super().__init__()
+        self.found, self.here = [], []
+
+    def end(self):
+        self.found += [x] if (x := " ".join("".join(self.here).split())) else []
+        self.here = []
+
+    def handle_starttag(self, tag, attributes):
+        if tag == "br":
+            self.here.append(" ")
+        elif tag not in ("a", "b", "i", "em", "strong", "span", "code", "img"):
+            self.end()
+
+    def handle_endtag(self, tag):
+        self.handle_starttag(tag, [])
+
+    def handle_data(self, data):
+        self.here.append(data)
 
 
 def test_gradient_and_decoding():
@@ -73,8 +117,10 @@ def test_pages_table(spark, sf_dir):
     frame = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r.text for r in extract(frame).collect()}
     for r in frame.collect():
-        inside = re.search("<article>(.*?)</article>", r.html, re.S)[0]
-        assert got[r.page_id] == "\n".join(texts(inside))
+        reader = Reader()
+        reader.feed(re.search("<article>(.*?)</article>", r.html, re.S)[0])
+        reader.end()
+        assert got[r.page_id] == "\n".join(reader.found)
 
 
 @pytest.mark.parametrize("n", [0, 1])
