@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: C0 controls but TAB, LF and CR (which is dropped), DEL, and C1 controls but NEL.
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x84\x86-\x9F]"
-ADDRESS = r"^[A-Za-z0-9!#$%&'*+/=?^_`{|}~.][A-Za-z0-9!#$%&'*+/=?^_`{|}~.-]*@[A-Za-z0-9.-]+$"
+#: The characters of both parts are fixed values; a domain begins and ends with a letter or digit, no address with a dash.
+ADDRESS = r"\A(?!-)[A-Za-z0-9!#$%&'*+/=?^_`{|}~.-]+@(?![.-])[A-Za-z0-9.-]*[A-Za-z0-9]\z"
 
 
 def clean_text(text: Column) -> Column:
@@ -32,8 +33,8 @@ def is_address(text: Column) -> Column:
 
 
 def fingerprint(text: Column, cap: int = 4096) -> Column:
-    """SHA-256 of the first line with its end, or null if no line ends within ``cap`` bytes."""
-    line = F.concat(F.substring_index(text, "\n", 1), F.lit("\n"))
+    """SHA-256 of the first line with its end, NULs before it left out, or null if no line ends within ``cap`` bytes."""
+    line = F.concat(F.regexp_replace(F.substring_index(text, "\n", 1), r"\A\x00+", ""), F.lit("\n"))
     return F.when(F.contains(text, F.lit("\n")) & (F.octet_length(line) <= cap), F.sha2(line, 256))
 
 
@@ -44,6 +45,11 @@ def anchor(text: Column, offset: Column, cap: int = 4096) -> Column:
     return F.sha2(F.substring(data, (start + 1).cast("int"), (offset - start).cast("int")), 256)
 
 
+def newlines(text: Column) -> Column:
+    """Line ends in a text."""
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long")
+
+
 def timestamp(moment: Column) -> Column:
     """ISO 8601 in whole seconds, marked as UTC."""
     return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -34,15 +34,21 @@ def _searched(pattern: Pattern, seconds: float):
     def search(texts: pd.Series) -> pd.Series:
         find = re.compile(pattern.text, re.IGNORECASE if pattern.ignore_case else 0).search
 
+        now = [""]
+
         def late(*_):
-            raise TimeoutError(f"{pattern.text!r} took more than {seconds:g} s")
+            raise TimeoutError(f"{pattern.text!r} took more than {seconds:g} s; the line begins {now[0][:80]!r}")
+
+        def found(text: str | None) -> bool:
+            now[0] = text or ""
+            return text is not None and find(text) is not None
 
         timed = seconds > 0 and threading.current_thread() is threading.main_thread()
         if timed:
             signal.signal(signal.SIGALRM, late)
             signal.setitimer(signal.ITIMER_REAL, seconds)
         try:
-            return texts.map(lambda t: t is not None and find(t) is not None).astype(bool)
+            return texts.map(found).astype(bool)
         finally:
             if timed:
                 signal.setitimer(signal.ITIMER_REAL, 0)
@@ -64,8 +70,8 @@ def matched(lines: DataFrame, watch: Watch, scan_seconds: float = 300) -> DataFr
     if "is_history" in lines.columns:
         raw &= ~F.coalesce("is_history", F.lit(False))
     lines = lines.withColumn("raw_hit", raw)
-    # an exclude is looked for only where a pattern was found
-    left = [F.when(F.col("raw_hit"), hit(p, text, scan_seconds)).otherwise(False) for p in watch.excludes]
+    # an exclude is looked for only where a pattern was found: Python gets a null for other lines, whatever Spark's order
+    left = [hit(p, F.when(F.col("raw_hit"), text), scan_seconds) for p in watch.excludes]
     lines = lines.withColumn("excluded", any_of(left))
     ranks = [RANK.get(p.priority or watch.priority or "") for p in watch.patterns]
     rank = F.greatest(F.lit(None).cast("int"), F.lit(None).cast("int"), *(F.when(F.col(m), F.lit(r).cast("int")) for m, r in zip(marks, ranks, strict=True)))

@@ -30,7 +30,8 @@ def report_rows(kept: DataFrame, watch: Watch) -> DataFrame:
     rows = within_budget(kept, watch.max_lines, watch.context)
     order = Window.orderBy("file_ord", "seg", "number")
     text = clean_text(F.concat(F.col("number").cast("string"), F.when(F.col("hit"), ": ").otherwise("- "), F.col("text")))
-    cut = F.when(F.col("cut"), " [cut]").otherwise("") if "cut" in rows.columns else F.lit("")
+    # a line over the cap of a piece is whole in its pieces; only one that goes on behind the last piece is cut
+    cut = F.when(F.col("still_cut"), " [cut]").otherwise("") if "still_cut" in rows.columns else F.lit("")
     rows = rows.withColumns({"place": F.row_number().over(order), "new_path": F.coalesce(F.lag("path").over(order) != F.col("path"), F.lit(True)), "line": F.concat(text, cut)})
     rows = rows.withColumn("header", F.when(F.col("new_path"), clean_text(F.concat(F.lit("==> "), F.col("path"), F.lit(" <==")))).when(F.col("gap"), "--"))
     blank = F.col("new_path") & (F.col("place") > 1)

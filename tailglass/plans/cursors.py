@@ -61,6 +61,11 @@ def merged_moments(old: DataFrame, seen: DataFrame, configured: DataFrame) -> Da
     return both.join(configured, ["watch", "glob"], "left_semi").select("watch", "glob", F.coalesce("new", "old").alias("moment"))
 
 
+def newest(moments: DataFrame) -> DataFrame:
+    """The latest run of each watch, over its globs."""
+    return moments.groupBy("watch").agg(F.max("moment").alias("newest"))
+
+
 def committed(cursors: DataFrame, reads: DataFrame, delivered: DataFrame, now: Column, ttl_days: float = 30) -> DataFrame:
     """The cursors after a run.
 

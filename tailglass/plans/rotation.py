@@ -18,7 +18,8 @@ SLACK = 2
 def holders(lost: DataFrame, copies: DataFrame) -> DataFrame:
     """For each lost (watch, file) the copy that holds its position, by the first stage that finds one.
 
-    1 content, written since the last run, oldest first; 2 the same inode, unless truncated; 3 content, older,
+    0 a cursor parked on a copy (``saved_modified`` is there and not null): a copy of that second that reaches the offset,
+    the same inode first, then the exact time, then named styles; without a saved first line only that inode. 1 content, written since the last run, oldest first; 2 the same inode, unless truncated; 3 content, older,
     newest first.  Content fits if first lines are the same, the copy reaches the offset, and what stands before
     it is the same as far as both are known."""
     c = copies.select("watch", "file", *(F.col(x).alias(f"c_{x}") for x in copies.columns if x not in ("watch", "file")))
@@ -28,10 +29,18 @@ def holders(lost: DataFrame, copies: DataFrame) -> DataFrame:
     recent = F.unix_seconds(F.col("c_modified").cast("timestamp")) >= F.unix_seconds(F.col("saved_last_seen").cast("timestamp")) - SLACK
     contradicts = F.coalesce(F.col("saved_fingerprint") != F.col("c_fingerprint"), F.lit(False))
     inode = (F.col("c_ino") == F.col("saved_ino")) & (F.col("c_dev") == F.col("saved_dev")) & (F.col("verdict") != "truncated") & ~contradicts
-    stage = F.when(fits & recent, 1).when(inode, 2).when(fits, 3)
+    parked, parked_order = F.lit(False), []
+    if "saved_modified" in lost.columns:
+        own = F.coalesce((F.col("c_ino") == F.col("saved_ino")) & (F.col("c_dev") == F.col("saved_dev")), F.lit(False))
+        second = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+        reaches = F.coalesce(F.col("c_size") >= F.col("saved_offset"), F.lit(True)) & same & ~contradicts
+        parked = F.coalesce((second("saved_modified") == second("c_modified")) & reaches & (own | F.col("saved_fingerprint").isNotNull()), F.lit(False))
+        at_0 = lambda c: F.when(F.col("stage") == 0, c)
+        parked_order = [at_0(~own), at_0(F.col("saved_modified") != F.col("c_modified")), at_0(F.col("c_style") == "other")]
+    stage = F.when(parked, 0).when(fits & recent, 1).when(inode, 2).when(fits, 3)
     pairs = pairs.withColumn("stage", stage).where("stage IS NOT NULL")
     age = F.unix_micros(F.col("c_modified").cast("timestamp"))
-    best = Window.partitionBy("watch", "file").orderBy("stage", F.when(F.col("stage") == 3, -age).otherwise(age), "c_path")
+    best = Window.partitionBy("watch", "file").orderBy("stage", *parked_order, F.when(F.col("stage") == 3, -age).otherwise(age), "c_path")
     return pairs.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 

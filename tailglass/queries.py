@@ -11,14 +11,14 @@ from pyspark.sql.window import Window
 from .functions import names as N
 from .functions import text as T
 from .operators.context import capped, context_of_hits, with_context
-from .operators.counts import file_counts, glob_tally, section_counts
+from .operators.counts import file_counts, glob_tally, globs_of, section_counts
 from .operators.matching import hit, matched, priority_name
 from .operators.report import remainder, report_lines, report_rows
 from .operators.rules import Pattern, Watch
-from .plans.cursors import committed, expired, judged, new_files, starts
+from .plans.cursors import committed, expired, judged, new_files, newest, starts
 from .plans.rotation import holders, segments
-from .sources.listing import oldest_first, union_distinct, without_archives
-from .sources.tables import cut_line, lines_of_text, table, with_cuts
+from .sources.listing import listed_first, oldest_first, union_distinct, without_archives, without_hard_links, without_twins
+from .sources.tables import lines_of_text, table, with_cuts
 
 WATCH = Watch.of("licences", patterns=["[high] Released under"], ipatterns=["license"], regex=["[low] [0-9]{3}"], iexclude=["apache"], priority="medium", context=1, max_lines=20)
 BYTES = Watch.of("words", patterns=["the"], context=2, max_lines=60)
@@ -250,11 +250,18 @@ def top_files(spark, d):
     return doc_hits(spark, d).groupBy("file").agg(F.count_if("hit").alias("matched")).orderBy(F.desc("matched"), "file").limit(20)
 
 
-@query(LINES + " SELECT file, number, CAST(strlen(text) AS BIGINT) AS n_bytes, strlen(text) > 2000 AS cut, strlen(text) > 16000 AS still_cut FROM lines WHERE strlen(text) > 500")
+@query(LINES + """ SELECT file, number, strlen(text) > 2000 AS cut, strlen(text) > 16000 AS still_cut,
+  CASE WHEN strlen(text) > 16000 THEN 16000 ELSE CAST(strlen(text) AS BIGINT) END AS n_bytes,
+  sha256(CASE WHEN strlen(text) > 16000 THEN array_slice(encode(text), 1, 16000) ELSE encode(text) END) AS sha FROM lines""")
 def line_cap(spark, d):
-    lines = with_cuts(doc_lines(spark, d)).where(F.octet_length("text") > 500)
-    assert cut_line(F.col("text")) is not None
-    return lines.select("file", "number", F.octet_length("text").cast("long").alias("n_bytes"), "cut", "still_cut")
+    lines = with_cuts(doc_lines(spark, d).withColumn("data", F.encode("text", "UTF-8")))
+    held = F.substring("data", 1, 16000)
+    return lines.select("file", "number", "cut", "still_cut", F.octet_length(held).cast("long").alias("n_bytes"), F.sha2(held, 256).alias("sha"))
+
+
+@query("SELECT doc_id, CAST(strlen(text) - strlen(replace(text, chr(10), '')) AS BIGINT) AS newlines FROM documents")
+def newline_count(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.newlines(F.col("text")).alias("newlines"))
 
 
 # -- text ----------------------------------------------------------------------------------------
@@ -265,7 +272,7 @@ def fingerprints(spark, d):
     return table(spark, d, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("fingerprint"))
 
 
-@query("SELECT doc_id, sha256(substring(text, greatest(strlen(text) - 4096, 0) + 1)) AS anchor FROM documents WHERE strlen(text) = length(text)")
+@query("SELECT doc_id, sha256(array_slice(encode(text), greatest(octet_length(encode(text)) - 4095, 1), octet_length(encode(text)))) AS anchor FROM documents")
 def anchors(spark, d):
     return table(spark, d, "documents").select("doc_id", T.anchor(F.col("text"), F.octet_length("text")).alias("anchor"))
 
@@ -314,9 +321,9 @@ def classify_names(spark, d):
     return rows.select("k", "name", "c.style", F.concat_ws(",", F.col("c.key").cast("array<string>")).alias("key"), "c.compressed", "c.ext_form")
 
 
-@query(COPIES_SQL + """ SELECT k, name, CASE k % 8 WHEN 1 THEN '.' || (k % 50) WHEN 2 THEN substring(name, 8) WHEN 3 THEN substring(name, 8) WHEN 5 THEN '.bak' WHEN 7 THEN regexp_replace(substring(name, 8), '\\.xz$', '') END AS suffix FROM names WHERE k % 8 <> 4""")
+@query(COPIES_SQL + """ SELECT k, name, CASE k % 8 WHEN 1 THEN '.' || (k % 50) WHEN 2 THEN substring(name, 8) WHEN 3 THEN substring(name, 8) WHEN 5 THEN '.bak' WHEN 7 THEN regexp_replace(substring(name, 8), '\\.xz$', '') END AS suffix FROM names""")
 def archive_suffixes(spark, d):
-    return copies(spark, d).where("k % 8 <> 4").select("k", "name", N.archive_suffix(F.col("name")).alias("suffix"))
+    return copies(spark, d).select("k", "name", N.archive_suffix(F.col("name")).alias("suffix"))
 
 
 @query(COPIES_SQL + " SELECT DISTINCT '/logs/' || name AS path FROM names WHERE k % 8 IN (0, 6)")
@@ -337,6 +344,37 @@ def path_union_distinct(spark, d):
     return union_distinct(docs.where("first % 2 = 0").unionByName(docs), ["first"])
 
 
+GLOB_PATHS = "'/logs/' || source || '/' || CASE WHEN doc_id % 7 = 0 THEN '.' ELSE '' END || doc_id || CASE doc_id % 3 WHEN 0 THEN '/a.log' WHEN 1 THEN '.log' ELSE '-log' END"
+GLOB_LIST = ("/logs/src?/*.log", "/logs/*/[!1-5]*", "/logs/src1*/??.log", "/logs/*/.*", "/logs/*/*?log", "/logs/src[1-3]/*/a.log")
+GLOB_SQL = [r"^/logs/src[^/]/([^./][^/]*)?\.log$", r"^/logs/[^/]*/[^1-5./][^/]*$", r"^/logs/src1[^/]*/[^./][^/]\.log$", r"^/logs/[^/]*/\.[^/]*$", r"^/logs/[^/]*/[^./][^/]*log$", r"^/logs/src[1-3]/[^./][^/]*/a\.log$"]
+
+
+@query(f"WITH p AS (SELECT doc_id, {GLOB_PATHS} AS path FROM documents) SELECT doc_id, path, concat_ws(' ', " + ", ".join(f"CASE WHEN regexp_matches(path, '{r}') THEN '{g}' END" for g, r in zip(GLOB_LIST, GLOB_SQL, strict=True)) + ") AS globs FROM p")
+def glob_match(spark, d):
+    rows = table(spark, d, "documents").selectExpr("doc_id", f"{GLOB_PATHS} AS path")
+    return rows.select("doc_id", "path", F.concat_ws(" ", globs_of(F.col("path"), GLOB_LIST)).alias("globs"))
+
+
+@query("SELECT o_custkey AS watch, min(lpad(CAST(o_orderkey AS VARCHAR), 12, '0')) AS path FROM orders GROUP BY o_custkey, o_orderkey % 5, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey END")
+def hard_links(spark, d):
+    """Orders of a customer that have the same remainder are links to one file; with 0, the inode is not known."""
+    files = table(spark, d, "orders").selectExpr("o_custkey AS watch", "lpad(CAST(o_orderkey AS STRING), 12, '0') AS path", "nullif(o_orderkey % 5, 0) AS ino", "1 AS dev")
+    return without_hard_links(files, ["watch"]).select("watch", "path")
+
+
+@query("""WITH c AS (SELECT o_custkey AS watch, o_orderkey AS k, '.' || (o_orderkey % 3) AS suffix, o_orderkey % 2 = 0 AS compressed, o_orderkey % 11 = 0 AS ext_form FROM orders),
+n AS (SELECT *, count(*) FILTER (WHERE NOT compressed) OVER (PARTITION BY watch, suffix, ext_form) AS plain FROM c) SELECT watch, k FROM n WHERE NOT compressed OR plain <> 1""")
+def archive_twins(spark, d):
+    found = table(spark, d, "orders").selectExpr("o_custkey AS watch", "o_orderkey AS k", "'.' || (o_orderkey % 3) AS suffix", "o_orderkey % 2 = 0 AS compressed", "o_orderkey % 11 = 0 AS ext_form")
+    return without_twins(found, ["watch"]).select("watch", "k")
+
+
+@query("SELECT source AS path, CASE WHEN bool_or(doc_id % 5 = 0) THEN 'by name' ELSE '*' END AS how FROM documents GROUP BY source")
+def listed_before_globs(spark, d):
+    rows = table(spark, d, "documents").select(F.col("source").alias("path"), F.when(F.col("doc_id") % 5 == 0, "by name").otherwise("*").alias("glob"))
+    return listed_first(rows).select("path", F.col("glob").alias("how")).distinct()
+
+
 # -- cursors -------------------------------------------------------------------------------------
 
 FILES = [
@@ -389,7 +427,7 @@ def incremental_read(spark, d):
 
 @query(f"WITH l AS ({LOGS}) SELECT file, max(number) AS start FROM l GROUP BY file")
 def first_sight_end(spark, d):
-    return event_lines(spark, d).groupBy("file").agg(F.max("number").alias("start"))
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("file")).agg(F.count("*").alias("start"))
 
 
 @query("WITH m AS (SELECT event_type, min(ts) + INTERVAL 2 DAY AS moment FROM events GROUP BY event_type) SELECT event_id AS file FROM events JOIN m USING (event_type) WHERE ts >= moment")
@@ -418,6 +456,11 @@ def commit_matrix(spark, d):
     return committed(cursors, reads, delivered, F.lit("2026-01-02").cast("timestamp_ntz")).select("watch", "file", "offset")
 
 
+@query("SELECT event_type AS watch, max(ts) AS newest FROM events GROUP BY event_type")
+def newest_moment(spark, d):
+    return newest(table(spark, d, "events").select(F.col("event_type").alias("watch"), F.col("props").alias("glob"), F.col("ts").alias("moment")))
+
+
 # Rotated copies: each customer is a log, each of its orders a dated copy.
 LOST = ["'w' AS watch", "c_custkey AS file", "CAST(NULL AS BIGINT) AS ino", "CAST(NULL AS BIGINT) AS dev", "CAST(NULL AS BIGINT) AS size", "'rotated' AS verdict", "CAST(40 AS BIGINT) AS saved_offset", "CAST(-1 AS BIGINT) AS saved_ino",
         "CAST(1 AS BIGINT) AS saved_dev", "concat('f', CAST(c_custkey % 2 AS STRING)) AS saved_fingerprint", "CAST(NULL AS STRING) AS saved_anchor", "TIMESTAMP '2000-01-01 00:00:00' AS saved_last_seen"]
@@ -439,6 +482,18 @@ def rotation_holder(spark, d):
     return holders(*lost_logs(spark, d)).select("file", F.col("c_path").alias("path"), "stage")
 
 
+@query(f"""WITH l AS (SELECT {', '.join(LOST)} FROM customer), c AS (SELECT {', '.join(HELD)} FROM orders),
+m AS (SELECT o_custkey AS file, max(o_orderdate) AS parked FROM orders GROUP BY o_custkey),
+p AS (SELECT l.file, c.path, c.ino, c.ino = m.file + 100 AS own FROM l JOIN c USING (watch, file) JOIN m ON m.file = l.file WHERE date_trunc('second', modified) = date_trunc('second', parked) AND c.size >= saved_offset AND fingerprint = saved_fingerprint)
+SELECT file, path FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY NOT own, path) AS n FROM p) WHERE n = 1""")
+def parked_cursor(spark, d):
+    """Cursors parked on the newest order of each customer."""
+    lost, found = lost_logs(spark, d)
+    parked = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("file")).agg(F.max("o_orderdate").alias("saved_modified"))
+    lost = lost.join(parked, "file").withColumns({"saved_ino": F.col("file") + 100})
+    return holders(lost, found).where("stage = 0").select("file", F.col("c_path").alias("path"))
+
+
 @query(HOLDERS_SQL + """, a AS (
   SELECT l.file, c.path, c.modified, h.path AS held, CASE WHEN h.path IS NULL THEN c.modified >= saved_last_seen - INTERVAL 2 SECOND ELSE c.path = h.path OR CAST(c.modified AS DATE) > CAST(h.modified AS DATE) END AS wanted
   FROM l JOIN c USING (watch, file) LEFT JOIN h ON h.file = l.file)

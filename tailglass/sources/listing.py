@@ -1,29 +1,95 @@
 """Files that globs name, as a table; what is a rotated copy stays out unless it is asked for.
 
-Listings come from Spark's binaryFile source without its content, so any store that Spark reads can be listed,
-and everything after that is joins and windows.
+A glob is expanded a component at a time, so only folders that its beginning names are looked into.  Names are
+metadata and are gathered on the driver; everything after that is joins and windows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime
+import decimal
+import os
+import re
+import stat
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.names import archive_suffix, base_name, classify, directory, glob_to_regex, kin_bases
+from ..functions.names import archive_suffix, base_name, classify, component_to_regex, directory, is_glob, kin_bases
+
+FILES = "glob_ord int, glob string, path string, length long, modified timestamp, ino decimal(20,0), dev decimal(20,0), problem string"
+
+
+def _entries(spark: SparkSession, folder: str) -> Iterator[tuple[str, str, tuple]]:
+    """(name, kind, facts) of a folder's entries; kind is dir, file or other (links, devices and so on)."""
+    if "://" not in folder:
+        with os.scandir(folder or "/") as found:
+            for entry in found:
+                facts = entry.stat(follow_symlinks=False)
+                kind = "dir" if stat.S_ISDIR(facts.st_mode) else "file" if stat.S_ISREG(facts.st_mode) else "other"
+                yield entry.name, kind, (facts.st_size, facts.st_mtime, facts.st_ino, facts.st_dev)
+    else:  # any store that Spark reads; there are no inodes
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        for x in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path):
+            yield x.getPath().getName(), "dir" if x.isDirectory() else "other" if x.isSymlink() else "file", (x.getLen(), x.getModificationTime() / 1000, None, None)
+
+
+def _expand(spark: SparkSession, pattern: str) -> Iterator[tuple]:
+    """(path, facts, problem) of what a pattern names."""
+    scheme, sep, rest = pattern.partition("://")
+    root, parts = (f"{scheme}{sep}{rest.partition('/')[0]}", rest.partition("/")[2]) if sep else ("", pattern.removeprefix("/"))
+    folders, parts = [root], parts.split("/")
+    for depth, part in enumerate(parts):
+        # \x{...} is how Java's engine writes a code point
+        fits = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), component_to_regex(part))).fullmatch
+        wild, last, below = bool(set(part) & set("*?[")), depth == len(parts) - 1, []
+        for folder in folders:
+            if not wild and not last:
+                below.append(f"{folder}/{part}")
+                continue
+            try:
+                for name, kind, facts in _entries(spark, folder):
+                    if fits(name) if wild else name == part:
+                        if last and kind == "file":
+                            yield f"{folder}/{name}", facts, None
+                        elif not last and kind == "dir":
+                            below.append(f"{folder}/{name}")
+            except (FileNotFoundError, NotADirectoryError):
+                continue
+            except Exception as e:
+                if "FileNotFoundException" in str(e):
+                    continue
+                if not isinstance(e, OSError) and "AccessControlException" not in str(e):
+                    raise
+                yield folder, (None,) * 4, f"cannot be listed: {type(e).__name__}"
+        folders = below
 
 
 def listing(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
-    """glob_ord, glob, path, length, modified of the files that each pattern names (a path names itself)."""
-    out = None
+    """The regular files that each pattern names (a path names itself), in no order: glob_ord, glob, path and facts.
+
+    Hidden names need a dot in their component; links are passed over; a folder that is not there has no files, and one
+    that can't be read is a row with a ``problem``.  Of hard links under one glob the first path stands for all."""
+    rows = []
     for i, pattern in enumerate(patterns):
-        root = pattern.split("*")[0].split("?")[0].split("[")[0].rpartition("/")[0] or "/"
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", F.col("modificationTime").alias("modified"))
-        found = found.where(F.col("path").rlike(glob_to_regex(pattern))).select(F.lit(i).alias("glob_ord"), F.lit(pattern).alias("glob"), "path", "length", "modified")
-        out = found if out is None else out.unionByName(found)
-    return out
+        for path, (size, modified, ino, dev), problem in _expand(spark, pattern):
+            moment = None if modified is None else datetime.datetime.fromtimestamp(modified)
+            rows.append((i, pattern, path, size, moment, *(None if x is None else decimal.Decimal(x) for x in (ino, dev)), problem))
+    return without_hard_links(spark.createDataFrame(rows, FILES), ["glob_ord"])
+
+
+def in_order(files: DataFrame) -> DataFrame:
+    """A listing in the order of its globs, then of paths by code point."""
+    return files.orderBy("glob_ord", "path")
+
+
+def without_hard_links(files: DataFrame, within: Sequence[str], order: Sequence = ("path",)) -> DataFrame:
+    """One row for each (dev, ino) within the given columns, the first in ``order``; where they are unknown, every row."""
+    alone = F.when(F.col("ino").isNull() | F.col("dev").isNull(), F.struct(*(F.col(c) for c in ("path",))))
+    best = Window.partitionBy(*within, "dev", "ino", alone).orderBy(*order)
+    return files.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
 def without_archives(files: DataFrame) -> DataFrame:
@@ -42,12 +108,25 @@ def union_distinct(files: DataFrame, order: Sequence[str]) -> DataFrame:
     return files.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
+def listed_first(files: DataFrame) -> DataFrame:
+    """``files`` (path, glob) without a glob's claim on a path that is also listed by name."""
+    listed = files.where(~is_glob(F.col("glob"))).select("path").distinct()
+    return files.where(~is_glob(F.col("glob"))).unionByName(files.where(is_glob(F.col("glob"))).join(listed, "path", "left_anti"))
+
+
 def archives(files: DataFrame, base: str) -> DataFrame:
     """The rotated copies of one log among ``files``: style, key, suffix, compressed, ext_form."""
     found = files.withColumn("_c", classify(base_name(F.col("path")), F.lit(base))).where("_c IS NOT NULL")
     return found.select(*files.columns, "_c.*")
 
 
+def without_twins(copies: DataFrame, within: Sequence[str]) -> DataFrame:
+    """``copies`` without compressed forms of a copy whose one plain form is still there: compression is under way."""
+    same = Window.partitionBy(*within, "suffix", "ext_form")
+    plain = F.count_if(~F.col("compressed")).over(same)
+    return copies.withColumn("_p", plain).where(~F.col("compressed") | (F.col("_p") != 1)).drop("_p")
+
+
 def oldest_first(copies: DataFrame, partition: Sequence[str], modified: str = "modified") -> DataFrame:
     """Ordinal ``age`` from 1, oldest first: by key where a log's copies have one recognised style, by time otherwise."""
     own = Window.partitionBy(*partition)

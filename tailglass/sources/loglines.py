@@ -1,13 +1,14 @@
 """A Spark data source of log lines: one partition for each stretch of a file, from a byte offset on.
 
 ``spark.dataSource.register(LogLines)``, then ``spark.read.format("loglines").option("segments", json).load()``;
-segments is a JSON list of {file, path, seg, start, number}.  Paths are on a file system that all executors mount;
-tables in other stores are read by Spark's own sources.  Not there: lines before ``start`` as history rows, so a hit
-just after it has no context before it; ranges of one large file, which is one task.
+segments is a JSON list of {file, path, seg, start, number, history}.  Paths are on a file system that all executors
+mount; tables in other stores are read by Spark's own sources.  Not there: ranges of one large file, which is one task.
 
 Lines end in \\n; one \\r before it goes; only complete lines come, but a line over 16,000 bytes comes as far as
 that without its end.  A line is cut above 2000 bytes and decoded in pieces of that size.  NULs at a line's start
-go, and a line of NULs only is counted and left out.  Offsets are in the uncompressed stream.
+go before anything is measured, however many they are, and a line of NULs only is counted and left out.  Offsets are in
+the uncompressed stream.  ``history`` complete lines before ``start`` come as rows with is_history, cut to 2000 bytes;
+a line of NULs takes a place among them.  Of a compressed file that is damaged or cut short, what can be read comes.
 """
 
 from __future__ import annotations
@@ -16,54 +17,99 @@ import bz2
 import gzip
 import json
 import lzma
+import zlib
+from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 LINE, PIECES, CHUNK = 2000, 8, 1 << 16
-SCHEMA = "file string, path string, seg int, number long, text string, cut boolean, still_cut boolean, end_offset long"
+SCHEMA = "file string, path string, seg int, number long, text string, cut boolean, still_cut boolean, is_history boolean, end_offset long"
 OPEN = {".gz": gzip.open, ".bz2": bz2.open, ".xz": lzma.open}
+DAMAGED = (EOFError, OSError, zlib.error, lzma.LZMAError)
 
 
 class Stretch(InputPartition):
-    def __init__(self, file: str, path: str, seg: int = 0, start: int = 0, number: int = 0):
-        self.file, self.path, self.seg, self.start, self.number = file, path, seg, start, number
+    def __init__(self, file: str, path: str, seg: int = 0, start: int = 0, number: int = 0, history: int = 0):
+        self.file, self.path, self.seg, self.start, self.number, self.history = file, path, seg, start, number, history
 
 
-def raw_lines(stream, start: int) -> Iterator[tuple[bytes, int, bool]]:
-    """Line without its end, kept to LINE * PIECES bytes; offset behind it; whether something was left out.
+class RawLine(NamedTuple):
+    """A line without its end and the NULs before it, kept to LINE * PIECES bytes and one; the offset behind it."""
 
-    Memory stays within a chunk and that many bytes, however long a line is."""
-    stream.seek(start)
-    held, size, at, most = b"", 0, start, LINE * PIECES
-    while chunk := stream.read(CHUNK):
+    kept: bytes
+    end: int
+    left_out: bool
+    only_nuls: bool
+
+
+def read_some(stream) -> bytes:
+    """The next bytes, or none where the stream ends or is damaged."""
+    try:
+        return stream.read1(CHUNK)
+    except DAMAGED:
+        return b""
+
+
+def raw_lines(stream, start: int) -> Iterator[RawLine]:
+    """Memory stays within a chunk and a line's kept bytes, however long a line or a run of NULs is."""
+    try:
+        stream.seek(start)
+    except DAMAGED:
+        return
+    kept, size, hole, at, most = b"", 0, False, start, LINE * PIECES
+    while chunk := read_some(stream):
         begin = 0
-        while (end := chunk.find(b"\n", begin)) >= 0:
-            part = chunk[begin:end]
+        while begin < len(chunk):
+            end = chunk.find(b"\n", begin)
+            part = chunk[begin : end if end >= 0 else len(chunk)]
+            if not size:
+                text = part.lstrip(b"\0")
+                hole, part = hole or len(text) < len(part), text
             size += len(part)
-            held += part[: max(0, most + 1 - len(held))]
-            yield held, at + end + 1, size > most + held[-1:].count(b"\r")
-            held, size, begin = b"", 0, end + 1
-        part = chunk[begin:]
-        size += len(part)
-        if not held:
-            part = part.lstrip(b"\0") if part.strip(b"\0") else part[:1]  # a hole takes no memory
-        held += part[: max(0, most + 1 - len(held))]
+            kept += part[: max(0, most + 1 - len(kept))]
+            if end < 0:
+                break
+            yield RawLine(kept, at + end + 1, size > most + kept[-1:].count(b"\r"), hole and not kept.removesuffix(b"\r"))
+            kept, size, hole, begin = b"", 0, False, end + 1
         at += len(chunk)
     if size > most:
-        yield held[:most], at, True
+        yield RawLine(kept[:most], at, True, False)
 
 
-def decoded(line: bytes) -> str | None:
-    """The text of a line, or None for one of NULs only."""
-    if line and not line.strip(b"\0"):
-        return None
-    line = line.lstrip(b"\0")
-    whole = line[:-1] if line.endswith(b"\r") else line
+def decoded(line: bytes) -> str:
+    whole = line.removesuffix(b"\r")
     if len(whole) <= LINE:
         return whole.decode("utf-8", "replace")
     pieces = [line[i : i + LINE] for i in range(0, min(len(line), LINE * PIECES), LINE)]
-    return "".join((p[:-1] if p.endswith(b"\r") else p).decode("utf-8", "replace") for p in pieces)
+    return "".join(p.removesuffix(b"\r").decode("utf-8", "replace") for p in pieces)
+
+
+def begin_of_last(stream, start: int, n: int) -> int:
+    """Where the last ``n`` lines before ``start`` begin; read backwards, a block at a time."""
+    at, wanted = start, n + 1  # the line end before ``start`` is the last line's own
+    while at > 0:
+        low = max(0, at - CHUNK)
+        stream.seek(low)
+        block = stream.read(at - low)
+        place = len(block)
+        while (place := block.rfind(b"\n", 0, place)) >= 0:
+            wanted -= 1
+            if not wanted:
+                return low + place + 1
+        at = low
+    return 0
+
+
+def history_lines(stream, start: int, n: int, packed: bool) -> list[RawLine]:
+    """The last ``n`` complete lines that end at ``start`` or before."""
+    last: deque[RawLine] = deque(maxlen=n)
+    for line in raw_lines(stream, 0 if packed else begin_of_last(stream, start, n)):
+        if line.end > start:
+            break
+        last.append(line)
+    return list(last)
 
 
 class LogReader(DataSourceReader):
@@ -75,14 +121,19 @@ class LogReader(DataSourceReader):
 
     def read(self, partition: Stretch) -> Iterator[tuple]:
         number = partition.number
-        opener = next((f for suffix, f in OPEN.items() if partition.path.lower().endswith(suffix)), open)
-        with opener(partition.path, "rb") as stream:
-            for line, end, left_out in raw_lines(stream, partition.start):
+        opener = next((f for suffix, f in OPEN.items() if partition.path.lower().endswith(suffix)), None)
+        whose = partition.file, partition.path, partition.seg
+        with (opener or open)(partition.path, "rb") as stream:
+            if partition.history and partition.start:
+                before = history_lines(stream, partition.start, partition.history, opener is not None)
+                for i, line in enumerate(before):
+                    if not line.only_nuls:
+                        whole = line.kept.removesuffix(b"\r")
+                        yield *whose, number - len(before) + 1 + i, whole[:LINE].decode("utf-8", "replace"), len(whole) > LINE, len(whole) > LINE, True, line.end
+            for line in raw_lines(stream, partition.start):
                 number += 1
-                text = decoded(line)
-                if text is not None:
-                    size = len(line.lstrip(b"\0").removesuffix(b"\r"))
-                    yield partition.file, partition.path, partition.seg, number, text, size > LINE, left_out, end
+                if not line.only_nuls:
+                    yield *whose, number, decoded(line.kept), len(line.kept.removesuffix(b"\r")) > LINE, line.left_out, False, line.end
 
 
 class LogLines(DataSource):

@@ -22,10 +22,10 @@ def lines_of_text(df: DataFrame, file: str, text: str, *carry: str) -> DataFrame
 
 def cut_line(text: Column, most: int = MATCHED_BYTES) -> Column:
     """A line's first ``most`` bytes, broken characters replaced."""
-    return F.make_valid_utf8(F.decode(F.substring(F.encode(text, "UTF-8"), 1, most), "UTF-8"))
+    return F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, most).cast("string"))
 
 
 def with_cuts(lines: DataFrame) -> DataFrame:
-    """Whether a line is over LINE_BYTES (cut) or over what is matched (still_cut)."""
+    """Whether a line is over LINE_BYTES (cut) or over what is matched (still_cut), and its text as far as that."""
     size = F.octet_length("text")
-    return lines.withColumns({"cut": size > LINE_BYTES, "still_cut": size > MATCHED_BYTES})
+    return lines.withColumns({"cut": size > LINE_BYTES, "still_cut": size > MATCHED_BYTES, "text": F.when(size > MATCHED_BYTES, cut_line(F.col("text"))).otherwise(F.col("text"))})
