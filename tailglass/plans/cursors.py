@@ -1,7 +1,7 @@
 """Cursors: where each watch has read each file to, as a table.
 
 Columns of a cursor: watch, file, offset, ino, dev, fingerprint (of the first line), anchor (of what stands
-before the offset), last_seen.  A null is "unknown" and never compared.  A listing has file, ino, dev, size
+before the offset), last_seen, and line (of the last line read) where runs need it.  A null is "unknown" and never compared.  A listing has file, ino, dev, size
 (null where compressed), fingerprint, anchor (now, at the saved offset), modified.
 """
 
@@ -73,14 +73,15 @@ def committed(cursors: DataFrame, reads: DataFrame, delivered: DataFrame, now: C
     accepted (a watch without matches needs no delivery).  A file advances unless its own read failed or it has
     matches that were not accepted; then an old cursor stays (its sighting is renewed past half the time to
     live), and a file without one is pinned where this read began.  Cursors of files not read stay."""
-    new = reads.select("watch", "file", "matched", "failed", "start_offset", *(F.col(c).alias(f"new_{c}") for c in CURSOR))
+    kinds = [*CURSOR, *(["line"] if "line" in cursors.columns else [])]
+    new = reads.select("watch", "file", "matched", "failed", "start_offset", *(F.col(c).alias(f"new_{c}") for c in kinds))
     rows = cursors.withColumn("had", F.lit(True)).join(new.join(delivered, "watch", "left"), ["watch", "file"], "full")
     read = F.col("failed").isNotNull()
     advance = read & ~F.col("failed") & ((F.col("matched") == 0) | F.coalesce("accepted", F.lit(False)))
     age = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("last_seen").cast("timestamp"))
     touch = read & F.coalesce(F.col("had"), F.lit(False)) & (age > ttl_days * 86400 / 2)
     out = {}
-    for c in CURSOR:
+    for c in kinds:
         kept = F.when(touch, now.cast(cursors.schema[c].dataType)).otherwise(F.col(c)) if c == "last_seen" else F.col(c)
         pinned = F.col("start_offset") if c == "offset" else F.col(f"new_{c}")
         out[c] = F.when(advance, F.col(f"new_{c}")).when(F.col("had"), kept).otherwise(pinned)
