@@ -11,7 +11,8 @@ and their places), then the sections: documents (ids, nulls, tokens), block plac
 A task writes under a name of its own and then renames, so a repeated task leaves one whole file.
 
 Defined results: null or empty text is the end id alone; null doc_ids stand first; equal doc_ids stand together, in
-order of their text; an empty table gives no file and an empty table.
+order of the first TIE_CHARS characters of their text, then of its hash; a row that repeats, however often, is spread
+over as many shards as its bytes need; an empty table gives no file and an empty table.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from .tokens import ENCODE_BYTES, encoder
 MAGIC = b"TGWVLT01"
 BLOCK_BITS = 1 << 16
 SHARD_BYTES = 8 << 20
+#: What orders documents of one doc_id; ranges are sampled on the driver, so whole texts are no key.
+TIE_CHARS = 32
 SHARDS = "shard int, documents long, tokens long, path string"
 DOCS = "doc_id long, local long, n_tokens long, ids_crc32 long, shard int"
 
@@ -189,8 +192,10 @@ def write_tokens(docs: DataFrame, folder: str, end: int = 1, vocabulary: str | N
     files.create_dir(path)
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, min(-(-n_bytes // shard_bytes), 1 << 20), docs.sparkSession.sparkContext.defaultParallelism)
-    shards = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    written = shards.mapInArrow(tidy(lambda batches: write_shard(batches, folder, end, vocabulary)), SHARDS)
+    keys = {"_tg_tie": F.substring("text", 1, TIE_CHARS), "_tg_hash": F.xxhash64("text"), "_tg_row": F.monotonically_increasing_id()}
+    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumns(keys)
+    shards = rows.repartitionByRange(n, "doc_id", *keys).sortWithinPartitions("doc_id", *keys)
+    written = shards.select("doc_id", "text").mapInArrow(tidy(lambda batches: write_shard(batches, folder, end, vocabulary)), SHARDS)
     return sorted((r.shard, r.tokens) for r in written.select("shard", "tokens").collect())  # a row for each file
 
 

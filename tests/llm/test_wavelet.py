@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 
 from tailglass.llm.tokens import VOCABULARY
-from tailglass.llm.wavelet import WaveletMatrix, build, token_files
+from tailglass.llm.wavelet import WaveletMatrix, build, token_files, write_tokens
 
 
 @pytest.mark.parametrize("n,high", [(0, 1), (1, 1), (1, 5), (500, 2), (3000, 49408), (140_000, 300), (1000, 1 << 20)])
@@ -46,3 +46,14 @@ def test_documents_round_trip(spark, docs01):
 
 def test_empty_table(spark):
     assert token_files(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_repeated_row_is_spread(spark, tmp_path):
+    """One row that is half of the table fills shards of the usual size, and its copies follow each other."""
+    made = [(7, "the same row again")] * 4000 + [(i, f"row {i} of its own") for i in range(4000)]
+    frame = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    shards = write_tokens(frame, f"file://{tmp_path}/files", shard_bytes=sum(len(t) for _, t in made) // 8)
+    assert max(n for _, n in shards) < sum(n for _, n in shards) / 4
+    got = sorted(map(tuple, token_files(frame).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted(k for k, _ in made)
+    assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:]))  # noqa: B905
