@@ -10,7 +10,7 @@ occurrence equals some rolling B-word window at the other, and likewise the othe
    compared by 96-bit hashes, again in buckets.  The union of the windows found twice is the maximal repeat;
 3. the words so covered are cut, judged on the input.
 
-Documents are dealt to groups of a few MB.  A group sends each bucket one compressed, sorted list of its
+Documents are dealt to groups of a few MB, copies of one row among them.  A group sends each bucket one compressed, sorted list of its
 distinct hashes and gets back those that matter, so a passage in a third of all documents costs one entry a
 group and no key is hot.  No pairs of places are made.
 
@@ -233,11 +233,18 @@ def without(words: Words, cut: np.ndarray, rows: pa.Table) -> pa.Table:
     return rows.set_column(rows.schema.get_field_index("text"), "text", pa.array(texts, rows.schema.field("text").type))
 
 
+def deal(docs: DataFrame, groups: int) -> DataFrame:
+    """Rows in groups by doc_id, text and their place in the input, so copies of one row are in many groups.
+
+    A row must be dealt alike in all passes: ``docs`` should be a table that is read, as queries and stages give it."""
+    return docs.withColumn(G, F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
+
+
 def find_repeats(docs: DataFrame, finish: Callable[[Words, np.ndarray, pa.Table], pa.Table], schema, window: int = WINDOW) -> DataFrame:
     """Run the three passes; ``finish`` makes the result of each group from its words, the cuts and its rows."""
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     plan = Plan(n_bytes, window)
-    dealt = docs.withColumn(G, F.pmod(F.xxhash64("doc_id", "text"), F.lit(plan.groups)).cast("int"))
+    dealt = deal(docs, plan.groups)
     sent = dealt.groupBy(G).applyInArrow(lambda key, rows: plan.probe(key, rows), SENT)
     back = sent.groupBy(B).applyInArrow(lambda rows: meet(rows, True), BACK)
     sent = dealt.groupBy(G).cogroup(back.groupBy(G)).applyInArrow(lambda key, rows, hits: plan.extend(key, rows, hits), SENT)

@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tailglass.llm.block_anchors import bucket_of, cut_repeats, pack, repeat_digest, unpack
+from tailglass.llm.block_anchors import G, bucket_of, cut_repeats, deal, pack, repeat_digest, unpack
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -59,3 +59,10 @@ def test_packed_lists(values):
     assert (unpack(pack(keys)) == keys).all()
     buckets = bucket_of(keys, 24, 64)
     assert (np.diff(buckets) >= 0).all() and buckets.min() >= 0 and buckets.max() < 24
+
+
+def test_repeated_row_is_spread(spark):
+    rows = [(7, " ".join(f"w{i}" for i in range(40)))] * 600 + [(i, f"own {i}") for i in range(300)] + [(None, None)] * 200
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    assert max(r["count"] for r in deal(made, 24).groupBy(G).count().collect()) < 3 * len(rows) / 24
+    check(spark, rows)
