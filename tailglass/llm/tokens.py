@@ -28,13 +28,13 @@ JOINED = 200
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str | None = None, by_word: bool = True) -> Encoder:
+def encoder(path: str | None = None, by_word: bool = True, cache_bytes: int = CACHE_BYTES) -> Encoder:
     """The worker's encoder: its vocabulary and known words serve all its tasks."""
-    return Encoder(path, by_word)
+    return Encoder(path, by_word, cache_bytes)
 
 
 class Encoder:
-    def __init__(self, path: str | None = None, by_word: bool = True):
+    def __init__(self, path: str | None = None, by_word: bool = True, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -48,7 +48,7 @@ class Encoder:
         self.ends[[n for t, n in vocabulary.items() if t.endswith("</w>")]] = True
         self.marks = [np.frombuffer(x, np.uint32) for x in self.ids([",", "."])]
         self.split_letters = self.ends.any() and all(len(x) == 1 for x in self.marks)
-        self.by_word, self.known, self.older, self.held = by_word, {}, {}, 0
+        self.by_word, self.cache_bytes, self.known, self.older, self.held = by_word, cache_bytes, {}, {}, 0
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -126,7 +126,7 @@ class Encoder:
         return keys, plain, np.where(plain, last.to_numpy(zero_copy_only=False), -1)
 
     def _known(self, keys: list[str], letters: list[bool]) -> list[bytes]:
-        if self.held > CACHE_BYTES:
+        if self.held > self.cache_bytes:
             self.known, self.older, self.held = {}, self.known, 0
         own = list(map(self.known.get, keys))
         missing = [i for i, x in enumerate(own) if x is None]

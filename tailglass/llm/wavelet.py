@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch, slices, tidy
-from .tokens import ENCODE_BYTES, encoder
+from .tokens import encoder
 
 MAGIC = b"TGWVLT01"
 BLOCK_BITS = 1 << 16
 SHARD_BYTES = 8 << 20
+#: Bytes of text to encode at once, and of words that a worker keeps: a shard's words are looked up together.
+ENCODE_BYTES, CACHE_BYTES = 8 << 20, 64 << 20
 #: What orders documents of one doc_id; ranges are sampled on the driver, so whole texts are no key.
 TIE_CHARS = 32
 SHARDS = "shard int, documents long, tokens long, path string"
@@ -166,7 +168,7 @@ def build(tokens: np.ndarray, ids: np.ndarray, nulls: np.ndarray, sizes: np.ndar
 
 
 def write_shard(batches: Iterator[pa.RecordBatch], folder: str, end: int, vocabulary: str | None) -> Iterator[pa.RecordBatch]:
-    coder, tokens, sizes, ids = encoder(vocabulary), [], [], []
+    coder, tokens, sizes, ids = encoder(vocabulary, cache_bytes=CACHE_BYTES), [], [], []
     for batch in batches:
         for part in slices(batch, "text", ENCODE_BYTES):
             offsets, found = coder.encode(part.column("text"), end)
