@@ -1,8 +1,8 @@
 """Quality classifier by co-training: a view of the words and a view of the page's metadata teach each other.
 
-The text view is logistic regression on hashed words and on what is left of words without letters and digits.
-The metadata view is logistic regression on source, language and measures of size and layout, each cut at
-quantiles.  In each round either view labels the pool's documents that it is surest of, and the other learns
+The text view is logistic regression on hashed words, on what is left of words without letters and digits, and on
+measures of content (symbols, digits, capitals, repetition, compression).  The metadata view is logistic regression
+on source, language and measures of size and layout, and sees no content.  Measures are cut at quantiles.  In each round either view labels the pool's documents that it is surest of, and the other learns
 them too.  At the end each view is calibrated on labelled rows that no round has seen, the two logits are
 combined there, and every document is scored.
 
@@ -37,7 +37,10 @@ from .common import slices, split_words, spread, tidy
 
 RESULT = "doc_id long, score double, quality double, toxic double, quality_text double, quality_metadata double, kept boolean"
 PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»¿¡“”„’‘…–—"
-MEASURES = ("bytes", "words", "lines", "word_length", "line_words", "symbols", "digits", "upper", "bars", "distinct", "top", "ratio")
+#: Measures of the metadata view, then those of the text view.
+LAYOUT = ("bytes", "words", "lines", "word_length", "line_words")
+CONTENT = ("symbols", "digits", "upper", "bars", "distinct", "top", "ratio")
+MEASURES = LAYOUT + CONTENT
 N_SOURCES, N_LANGS = 64, 32
 
 
@@ -86,7 +89,7 @@ def text_view(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return found >> bits, found & ((1 << bits) - 1), np.diff(offsets), np.bincount(of, minlength=n), top
 
 
-def metadata_view(part: pa.RecordBatch, words: np.ndarray, distinct: np.ndarray, top: np.ndarray) -> np.ndarray:
+def measured(part: pa.RecordBatch, words: np.ndarray, distinct: np.ndarray, top: np.ndarray) -> np.ndarray:
     """Measures of each document, and the hashed source and language in the last two columns."""
     compressor, rows = zstandard.ZstdCompressor(level=1), []
     for text, source, lang, w, d, t in zip(part.column("text").to_pylist(), part.column("source").to_pylist(), part.column("lang").to_pylist(), words.tolist(), distinct.tolist(), top.tolist(), strict=True):
@@ -154,7 +157,7 @@ def scale(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Views:
-    """Features of sampled documents by view, and the quantiles that the metadata are cut at."""
+    """Features of sampled documents by view, and the quantiles that the measures are cut at."""
 
     def __init__(self, rows: list, how: CoTraining):
         self.n = len(rows)
@@ -164,22 +167,34 @@ class Views:
         common = np.bincount(self.feature, minlength=1 << how.bits) >= how.least_documents
         self.row, self.feature = self.row[common[self.feature]], self.feature[common[self.feature]]
         self.cuts = np.quantile(self.measures[:, : len(MEASURES)], np.linspace(0, 1, how.bins + 1)[1:-1], axis=0) if self.n else np.zeros((how.bins - 1, len(MEASURES)))
+        self.bits = how.bits
 
     def text(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         place = np.full(self.n, -1)
         place[chosen] = np.arange(len(chosen))
         keep = place[self.row] >= 0
-        return place[self.row[keep]], self.feature[keep]
+        return with_content(place[self.row[keep]], self.feature[keep], self.measures[chosen], self.cuts, self.bits)
 
     def metadata(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return cut(self.measures[chosen], self.cuts)
+        return metadata_view(self.measures[chosen], self.cuts)
 
 
-def cut(measures: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One feature for each measure, by the quantile it falls in, and those of source and language."""
+def quantiles(measures: np.ndarray, cuts: np.ndarray, columns: range, base: int) -> list[np.ndarray]:
+    """By document one feature for each of the columns, by the quantile it falls in, numbered from ``base``."""
     bins = len(cuts) + 1
-    numbers = [np.searchsorted(cuts[:, j], measures[:, j], side="right") + j * bins for j in range(len(MEASURES))]
-    base = len(MEASURES) * bins
+    return [np.searchsorted(cuts[:, j], measures[:, j], side="right") + base + i * bins for i, j in enumerate(columns)]
+
+
+def with_content(row: np.ndarray, feature: np.ndarray, measures: np.ndarray, cuts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The text view: hashed features of words, and those of the measures of content after them."""
+    numbers = quantiles(measures, cuts, range(len(LAYOUT), len(MEASURES)), 1 << bits)
+    return np.concatenate([row, np.tile(np.arange(len(measures)), len(numbers))]), np.concatenate([feature, *numbers])
+
+
+def metadata_view(measures: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of size and layout, source and language."""
+    numbers = quantiles(measures, cuts, range(len(LAYOUT)), 0)
+    base = len(LAYOUT) * (len(cuts) + 1)
     numbers += [measures[:, -2].astype(np.int64) + 1 + base, measures[:, -1].astype(np.int64) + 1 + base + N_SOURCES]
     return np.tile(np.arange(len(measures)), len(numbers)), np.concatenate(numbers)
 
@@ -191,8 +206,8 @@ class Target:
         """y: label or NaN by document; use: those with a label; pool: those without that the views may label."""
         self.share = float(y[use].mean()) if len(use) else 0.5
         self.flat = not len(use) or not 0 < self.share < 1
-        size = len(MEASURES) * how.bins + N_SOURCES + N_LANGS
-        self.models = [Sparse(1 << how.bits, how.prior_text, how.steps, how.doubt), Sparse(size, how.prior_metadata, how.steps, how.doubt)]
+        sizes = (1 << how.bits) + len(CONTENT) * how.bins, len(LAYOUT) * how.bins + N_SOURCES + N_LANGS
+        self.models = [Sparse(n, prior, how.steps, how.doubt) for n, prior in zip(sizes, (how.prior_text, how.prior_metadata), strict=True)]
         self.scales, self.mix = [np.array([1.0, 0.0])] * 2, np.array([0.5, 0.5, 0.0])
         self.rounds: list[tuple[int, int]] = []
         if self.flat:
@@ -236,7 +251,7 @@ def sampled(batches: Iterator[pa.RecordBatch], how: CoTraining) -> Iterator[pa.R
     for batch in batches:
         for part in slices(batch, "text"):
             of, feature, *rest = text_view(part.column("text"), how.bits)
-            measures = metadata_view(part, *rest)
+            measures = measured(part, *rest)
             ends = np.searchsorted(of, np.arange(part.num_rows + 1))
             lists = [feature[a:b].astype(np.uint32).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.record_batch([part.column("doc_id"), pa.array(lists, pa.binary()), pa.array([m.tobytes() for m in measures], pa.binary())], names=["doc_id", "features", "measures"])
@@ -276,9 +291,10 @@ def quality(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining())
         for batch in batches:
             for part in slices(batch, "text"):
                 of, feature, *rest = text_view(part.column("text"), how.bits)
-                n, metadata = part.num_rows, cut(metadata_view(part, *rest), cuts)
-                q, q_text, q_metadata = good.scores(n, (of, feature), metadata)
-                t = toxic.scores(n, (of, feature), metadata)[0]
+                n, measures = part.num_rows, measured(part, *rest)
+                views = with_content(of, feature, measures, cuts, how.bits), metadata_view(measures, cuts)
+                q, q_text, q_metadata = good.scores(n, *views)
+                t = toxic.scores(n, *views)[0]
                 kept = pa.array((q >= 0.5) & (t < 0.5) | ((q >= 0.5) & toxic.flat & (toxic.share == 0.5)))
                 yield pa.record_batch([part.column("doc_id"), *map(pa.array, (q * (1 - t), q, t, q_text, q_metadata)), kept], names=[x.split()[0] for x in RESULT.split(", ")])
 

@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tailglass.llm.co_training import CoTraining, Sparse, quality, scale, sigmoid, text_view, train
+from tailglass.llm.co_training import CONTENT, LAYOUT, MEASURES, CoTraining, Sparse, measured, metadata_view, quality, scale, sigmoid, text_view, train, with_content
 
 DOCS = "doc_id long, text string, source string, lang string, score double"
 LABELS = "doc_id long, quality int, toxic int"
@@ -83,6 +83,18 @@ def test_text_view_counts():
     assert set(of.tolist()) == {0, 3} and len(set(zip(of.tolist(), feature.tolist(), strict=True))) == len(of)
 
 
+def test_views_are_separate():
+    """Texts of one layout and other content differ in the text view alone; other sources in the metadata alone."""
+    part = pa.record_batch([pa.array(["ab cd ef", "#b 12 #b", "ab cd ef"]), pa.array(["s", "s", "t"]), pa.array(["en", "en", "en"])], names=["text", "source", "lang"])
+    of, feature, *rest = text_view(part.column("text"), 12)
+    measures = measured(part, *rest)
+    cuts = np.sort(np.random.default_rng(3).random((9, len(MEASURES))), axis=0)
+    views = [with_content(of, feature, measures, cuts, 12), metadata_view(measures, cuts)]
+    text, metadata = ([set(f[row == i].tolist()) for i in range(3)] for row, f in views)
+    assert text[0] == text[2] != text[1] and metadata[0] == metadata[1] != metadata[2]
+    assert max(text[1]) < (1 << 12) + 10 * len(CONTENT) and len(metadata[0]) == len(LAYOUT) + 2
+
+
 @pytest.mark.parametrize("labelled", [[], [(1, 1, 0)], [(1, None, None), (None, 1, 1), (1, 0, 1), (1, 1, 1), (5, 0, 0)]])
 def test_nulls_repeats_and_few_labels(spark, labelled):
     rows = [(1, "good words here", "s", "en", 1.0), (None, None, None, None, None), (2, "", "s", None, 2.0), (2, "x " * 50_000, None, "en", 2.0), (2, "x " * 50_000, None, "en", 2.0)]
