@@ -8,8 +8,9 @@ best path gives spans, and the language with most letters is the text's.
 Most texts need no path search: if for the language with the best sum no other gains more than the penalty
 over any run of words, no switch pays, which a running minimum of the sums shows for all texts at once.
 
-Training counts n-grams of a sample: about ``per_language`` texts of each language, chosen by a hash of the
-doc_id.  That bound is all that is sampled; every text is labelled whole.
+Training counts n-grams of a sample: about ``per_language`` texts of each of the ``most_languages`` most frequent
+languages (ties by name), chosen by a hash of doc_id and text, a repeated row once.  These bounds are all that is
+sampled; every text is labelled whole.
 
 Defined results: a null or empty text, or one without letters, is ``und`` with score 0; letters of a script
 that no language used say nothing; without labelled texts everything is ``und``; null or equal doc_ids are
@@ -47,6 +48,8 @@ MARK = 1
 @dataclass(frozen=True)
 class Languages:
     per_language: int = 2000
+    #: Bounds the model, 2 MB a language, however many wrong labels there are.
+    most_languages: int = 100
     bits: int = 17
     penalty: float = 8.0
     smoothing: float = 0.5
@@ -113,10 +116,10 @@ class Model:
         """counts: (n, bucket, language); scripts: letters by (script, language); rows: texts by language."""
         self.languages, self.how = languages, how
         self.prior = int(rows.argmax()) if len(rows) else -1
-        total = counts.sum(axis=1, keepdims=True)
-        score = np.log((counts + how.smoothing) / (total + how.smoothing * counts.shape[1]))
-        score = (score - score.mean(axis=2, keepdims=True)) / GRAMS
-        self.table = np.concatenate([score, np.zeros((GRAMS, 1, len(languages)))], axis=1).astype(np.float32)  # the last row: no n-gram
+        self.table = np.zeros((GRAMS, counts.shape[1] + 1, len(languages)), np.float32)  # the last row: no n-gram
+        for n in range(GRAMS if languages else 0):
+            score = np.log((counts[n] + how.smoothing) / (counts[n].sum(axis=0) + how.smoothing * counts.shape[1]))
+            self.table[n, :-1] = (score - score.mean(axis=1, keepdims=True)) / GRAMS
         share = scripts / np.maximum(scripts.sum(axis=0, keepdims=True), 1)
         self.allowed = share >= how.least_share
         self.allowed[~self.allowed.any(axis=1)] = True
@@ -180,13 +183,14 @@ def held_out(doc_id):
 def train(docs: DataFrame, how: Languages = Languages()) -> Model:
     """Counts of a bounded sample, made in tasks and summed here: one row a task and language."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(how.most_languages).collect()}
     languages = sorted(sizes)
     size = 1 << how.bits
     if not languages:
         return Model([], how, np.zeros((GRAMS, size, 0)), np.zeros((len(NAMES), 0)), np.zeros(0))
     share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, how.per_language / n)))))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("text", "lang").repartition(8)
+    # 62 bits: the bound holds for any number of rows; equal rows, which share a hash, are merged before they are moved
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62)) < F.try_element_at(share, F.col("lang")) * float(1 << 62)).dropDuplicates().select("text", "lang").repartition(8)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {}

@@ -59,3 +59,16 @@ def test_odd_texts(spark, model):
     assert got[4][1] in ("aa", "bb", "cc")
     assert {r.lang_pred for r in languages(made).collect()} == {"und"}
     assert languages(made.limit(0), Languages()).count() == 0
+
+
+def test_repeated_rows_and_many_labels(spark):
+    """A row that repeats is learned from once; of more labels than the bound the most frequent are learned."""
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    texts = [("der schein keit", "aa"), ("que les tion", "bb"), ("при вет мир", "cc"), ("x", "dd")]
+    rows = [(i, *texts[0]) for i in ids[:1] * 300] + [(i, *texts[1]) for i in ids[1:3]] + [(ids[3], *texts[2]), (ids[4], *texts[3])]
+    make = lambda r: train(spark.createDataFrame(r, "doc_id long, text string, lang string"), Languages(most_languages=3))
+    got, want = make(rows), make(rows[299:])
+    assert got.languages == ["aa", "bb", "cc"] == sorted(want.languages)
+    assert np.array_equal(got.table, want.table)
+    made = spark.createDataFrame([(1, "schein der"), (2, "les tion"), (3, "мир")], "doc_id long, text string")
+    assert [r.lang_pred for r in languages(made, model=got).collect()] == ["aa", "bb", "cc"]
