@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, release, split_words, spread, windows, word_hashes
+from .common import U64, lean, split_words, spread, windows, word_hashes
 
 WINDOW = 35
 #: Bytes of text in a group, and groups whose words a bucket gets.
@@ -115,8 +115,10 @@ def meet(sent: pa.Table, need_block: bool) -> pa.Table:
     sizes = np.array([len(x) for x in lists])
     flags = lambda name: np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(sent.column(name).to_pylist(), sizes, strict=True)])
     keys, twice, blocks = np.concatenate(lists), flags("twice"), flags("blocks")
+    n_lists = len(lists)
+    del lists
     checks = np.frombuffer(b"".join(sent.column("checks").to_pylist()), np.uint32)
-    owner = np.repeat(np.arange(len(lists)), sizes)
+    owner = np.repeat(np.arange(n_lists, dtype=np.int32), sizes)
     order = np.lexsort((checks, keys)) if len(checks) else np.argsort(keys, kind="stable")
     k = keys[order]
     new = k[1:] != k[:-1]
@@ -128,7 +130,7 @@ def meet(sent: pa.Table, need_block: bool) -> pa.Table:
     if need_block:
         hit &= np.add.reduceat(blocks[order].astype(np.int64), first) > 0
     chosen = np.sort(order[np.repeat(hit, np.diff(np.append(first, len(k))))])
-    ends = np.searchsorted(owner[chosen], np.arange(len(lists) + 1))
+    ends = np.searchsorted(owner[chosen], np.arange(n_lists + 1))
     has = np.flatnonzero(np.diff(ends))
     parts = [chosen[ends[i] : ends[i + 1]] for i in has]
     return pa.table(
@@ -245,18 +247,16 @@ def find_repeats(docs: DataFrame, finish: Callable[[Words, np.ndarray, pa.Table]
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     plan = Plan(n_bytes, window)
     dealt = deal(docs, plan.groups)
-    sent = dealt.groupBy(G).applyInArrow(lambda key, rows: plan.probe(key, rows), SENT)
-    back = sent.groupBy(B).applyInArrow(lambda rows: meet(rows, True), BACK)
-    sent = dealt.groupBy(G).cogroup(back.groupBy(G)).applyInArrow(lambda key, rows, hits: plan.extend(key, rows, hits), SENT)
-    back = sent.groupBy(B).applyInArrow(lambda rows: meet(rows, False), BACK)
+    sent = dealt.groupBy(G).applyInArrow(lean(lambda key, rows: plan.probe(key, rows)), SENT)
+    back = sent.groupBy(B).applyInArrow(lean(lambda rows: meet(rows, True)), BACK)
+    sent = dealt.groupBy(G).cogroup(back.groupBy(G)).applyInArrow(lean(lambda key, rows, hits: plan.extend(key, rows, hits)), SENT)
+    back = sent.groupBy(B).applyInArrow(lean(lambda rows: meet(rows, False)), BACK)
 
     def last(rows: pa.Table, hits: pa.Table) -> pa.Table:
         words = Words(rows)
-        out = finish(words, plan.covered(words, hits), rows.drop_columns([G]))
-        release()
-        return out
+        return finish(words, plan.covered(words, hits), rows.drop_columns([G]))
 
-    return dealt.groupBy(G).cogroup(back.groupBy(G)).applyInArrow(last, schema)
+    return dealt.groupBy(G).cogroup(back.groupBy(G)).applyInArrow(lean(last), schema)
 
 
 def repeat_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import inspect
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -66,6 +67,20 @@ def tidy(step: Callable) -> Callable:
     return run
 
 
+def lean(step: Callable) -> Callable:
+    """A function for applyInArrow that releases memory after each group."""
+
+    def run(*args):
+        try:
+            return step(*args)
+        finally:
+            release()
+
+    # Spark tells by the number of parameters whether the key is wanted
+    run.__signature__ = inspect.signature(step)
+    return run
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Split a batch so that each part holds at most ``limit`` bytes of ``column``, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

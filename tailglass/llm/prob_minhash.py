@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .block_anchors import BACK, SENT, B, G, meet, places_of, returned, send
-from .common import U64, mix, scratch, slices, split_words, spread, stored, tidy, windows, word_hashes
+from .common import U64, lean, mix, scratch, slices, split_words, spread, stored, tidy, windows, word_hashes
 
 LONELY = "node binary, own long, weight long, lone long, lone_weight long, marks array<long>"
 #: Bytes of shingles in a group, and levels that texts are ranked in by what is theirs alone.
@@ -224,9 +224,9 @@ class Sets:
             kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
             return pa.table([part.column("node"), *(pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds))], names=[x.split()[0] for x in LONELY.split(", ")])
 
-        sent = dealt.groupBy(G).applyInArrow(lambda key, part: send(key[0].as_py(), np.concatenate([k for k, _ in sets_of(part)]), groups, 64), SENT)
-        back = sent.groupBy(B).applyInArrow(lambda part: meet(part, False), BACK)
-        return dealt.groupBy(G).cogroup(back.groupBy(G)).applyInArrow(count, LONELY)
+        sent = dealt.groupBy(G).applyInArrow(lean(lambda key, part: send(key[0].as_py(), np.concatenate([k for k, _ in sets_of(part)]), groups, 64)), SENT)
+        back = sent.groupBy(B).applyInArrow(lean(lambda part: meet(part, False)), BACK)
+        return dealt.groupBy(G).cogroup(back.groupBy(G)).applyInArrow(lean(count), LONELY)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs (node, pivot) with a similarity at or above the threshold."""
@@ -239,7 +239,7 @@ class Sets:
         right = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select("pivot", group).distinct()
         right = right.join(self.spark.table(self.name).select(F.col("node").alias("pivot"), F.col("size").alias("pivot_size"), F.col("shingles").alias("pivot_shingles")), "pivot")
         right = right.withColumnRenamed("chunk", "pivot_chunk").withColumnRenamed("pivot", "the_pivot")
-        return left.groupBy("chunk").cogroup(right.groupBy("pivot_chunk")).applyInArrow(lambda a, b: compare(a, b, how.threshold), "node binary, pivot binary")
+        return left.groupBy("chunk").cogroup(right.groupBy("pivot_chunk")).applyInArrow(lean(lambda a, b: compare(a, b, how.threshold)), "node binary, pivot binary")
 
 
 def labels(links: DataFrame) -> DataFrame:
