@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -13,10 +14,13 @@ from .block_crf import extract
 from .co_training import quality
 from .common import table
 from .compression_bands import compression_bands
+from .credential_automata import scan
 from .cutting_stock import pack
+from .dual_tree import hard_negatives
 from .prob_minhash import near_classes
 from .qgram_lemma import leaks
 from .script_viterbi import languages
+from .sparse_product import rank_documents
 from .wavelet import token_files
 from .zip_warc import archive_pages
 
@@ -61,6 +65,19 @@ def op10_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_sparse_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50, once=True)
+
+
+def op12_credential_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op13_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", shifted), "vec_id % 50 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
     "op2_block_crf": op2_block_crf,
@@ -72,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_wavelet_matrix": op8_wavelet_matrix,
     "op9_co_training": op9_co_training,
     "op10_zip_warc": op10_zip_warc,
+    "op11_sparse_product": op11_sparse_product,
+    "op12_credential_automata": op12_credential_automata,
+    "op13_dual_tree": op13_dual_tree,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -110,4 +130,50 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
 FROM pays JOIN firsts USING (html)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_block_anchors": OP4_SQL, "op10_zip_warc": OP10_SQL}
+#: op11: terms by splitting at what is none; the weights and impacts as the contract states them.
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ts
+  FROM documents),
+items AS (
+  SELECT row_number() OVER () AS iid, item_id,
+         list_distinct(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS ts
+  FROM benchmark),
+sums AS (SELECT count(*) FILTER (WHERE len(ts) > 0) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM docs),
+tfs AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ts) AS term FROM docs) GROUP BY rid, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, sums GROUP BY term),
+lengths AS (SELECT rid, doc_id, 50 + (50 * len(ts) * n_docs) // n_terms AS m FROM docs, sums WHERE len(ts) > 0),
+scores AS (
+  SELECT iid, item_id, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM (SELECT iid, item_id, unnest(ts) AS term FROM items) JOIN weights USING (term) JOIN tfs USING (term) JOIN lengths USING (rid)
+  GROUP BY iid, item_id, rid, doc_id),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+  FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50
+"""
+
+#: op13: all pairs of an anchor and a row.
+OP13_SQL = """
+WITH rows AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.rid AS aid, a.vec_id AS anchor_id, a.label = r.label AS same, r.rid, r.vec_id, CAST(list_inner_product(a.q, r.q) AS BIGINT) AS score
+  FROM rows a JOIN rows r ON a.rid <> r.rid WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT aid, rid AS pid, anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY aid ORDER BY score DESC, vec_id NULLS LAST, rid) <= 5),
+found AS (
+  SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY aid, pid ORDER BY score DESC, vec_id NULLS LAST, n.rid) AS INTEGER) AS rank
+  FROM positives p JOIN pairs n USING (aid)
+  WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM found WHERE rank <= 3
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_block_anchors": OP4_SQL, "op10_zip_warc": OP10_SQL, "op11_sparse_product": OP11_SQL, "op13_dual_tree": OP13_SQL}
