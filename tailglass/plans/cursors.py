@@ -1,8 +1,10 @@
 """Cursors: where each watch has read each file to, as a table.
 
 Columns of a cursor: watch, file, offset, ino, dev, fingerprint (of the first line), anchor (of what stands
-before the offset), last_seen, and line (of the last line read) where runs need it.  A null is "unknown" and never compared.  A listing has file, ino, dev, size
-(null where compressed), fingerprint, anchor (now, at the saved offset), modified.
+before the offset), last_seen; and where runs need it line (complete lines before the offset), in_line (the offset is
+inside a line), size and modified (of a copy that the cursor is parked on, or of a compressed file read to its end).
+A null is "unknown" and never compared.  A listing has file, ino, dev, size (null where compressed), fingerprint,
+anchor (now, at the saved offset), modified.
 """
 
 from __future__ import annotations
@@ -10,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CURSOR = ("offset", "ino", "dev", "fingerprint", "anchor", "last_seen")
+
+def kinds_of(cursors: DataFrame) -> list[str]:
+    return [c for c in cursors.columns if c not in ("watch", "file")]
 
 
 def verdict() -> Column:
@@ -29,7 +33,7 @@ def verdict() -> Column:
 
 def judged(files: DataFrame, cursors: DataFrame) -> DataFrame:
     """Each listed (watch, file) with its saved cursor, the verdict and whether it moved to another device."""
-    saved = cursors.select("watch", "file", *(F.col(c).alias(f"saved_{c}") for c in CURSOR))
+    saved = cursors.select("watch", "file", *(F.col(c).alias(f"saved_{c}") for c in kinds_of(cursors)))
     rows = files.join(saved, ["watch", "file"], "left").withColumn("verdict", verdict())
     return rows.withColumn("moved", F.coalesce(F.col("verdict").eqNullSafe("continue") & (F.col("saved_dev") != F.col("dev")), F.lit(False)))
 
@@ -72,9 +76,11 @@ def committed(cursors: DataFrame, reads: DataFrame, delivered: DataFrame, now: C
     reads: watch, file, matched, failed, start_offset and the columns of the cursor reached; delivered: watch,
     accepted (a watch without matches needs no delivery).  A file advances unless its own read failed or it has
     matches that were not accepted; then an old cursor stays (its sighting is renewed past half the time to
-    live), and a file without one is pinned where this read began.  Cursors of files not read stay."""
-    kinds = [*CURSOR, *(["line"] if "line" in cursors.columns else [])]
-    new = reads.select("watch", "file", "matched", "failed", "start_offset", *(F.col(c).alias(f"new_{c}") for c in kinds))
+    live), and a file without one is pinned where this read began: at start_offset, with start_line and
+    start_in_line if they are there and no anchor, as that is of the place reached.  Cursors of files not read stay."""
+    kinds = kinds_of(cursors)
+    begun = [c for c in ("start_offset", "start_line", "start_in_line") if c in reads.columns]
+    new = reads.select("watch", "file", "matched", "failed", *begun, *(F.col(c).alias(f"new_{c}") for c in kinds))
     rows = cursors.withColumn("had", F.lit(True)).join(new.join(delivered, "watch", "left"), ["watch", "file"], "full")
     read = F.col("failed").isNotNull()
     advance = read & ~F.col("failed") & ((F.col("matched") == 0) | F.coalesce("accepted", F.lit(False)))
@@ -83,6 +89,6 @@ def committed(cursors: DataFrame, reads: DataFrame, delivered: DataFrame, now: C
     out = {}
     for c in kinds:
         kept = F.when(touch, now.cast(cursors.schema[c].dataType)).otherwise(F.col(c)) if c == "last_seen" else F.col(c)
-        pinned = F.col("start_offset") if c == "offset" else F.col(f"new_{c}")
+        pinned = F.col(f"start_{c}") if f"start_{c}" in begun else F.lit(None) if c in ("anchor", "size", "modified") else F.col(f"new_{c}")
         out[c] = F.when(advance, F.col(f"new_{c}")).when(F.col("had"), kept).otherwise(pinned)
     return rows.select("watch", "file", *(v.cast(cursors.schema[c].dataType).alias(c) for c, v in out.items()))
