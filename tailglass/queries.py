@@ -143,7 +143,7 @@ def line_numbers(spark, d):
 
 def context_query(n: int):
     def run(spark, d):
-        return with_context(doc_hits(spark, d), n).select("file", "number", "hit", "gap")
+        return with_context(doc_hits(spark, d), n, skips=False).select("file", "number", "hit", "gap")
 
     run.__name__ = f"context_{n}"
     return query(kept_sql(n) + " SELECT file, number, hit, gap FROM kept")(run)
@@ -175,7 +175,7 @@ CAP = "CASE WHEN hit THEN mno <= {0} ELSE (after AND mno <= {0}) OR (before AND
 
 @query(kept_sql(2, WORDS) + f" SELECT file, number, hit, gap FROM kept WHERE {CAP.format(2)}")
 def cap_scan(spark, d):
-    return capped(with_context(doc_hits(spark, d, BYTES), 2), 2).select("file", "number", "hit", "gap")
+    return capped(with_context(doc_hits(spark, d, BYTES), 2, skips=False), 2).select("file", "number", "hit", "gap")
 
 
 def report_sql(n: int, most: int, size: int, hits: str) -> str:
@@ -194,7 +194,7 @@ rows AS (
 
 
 def stored(spark, d, watch):
-    kept = with_context(doc_hits(spark, d, watch), watch.context).withColumn("file_ord", F.col("file"))
+    kept = with_context(doc_hits(spark, d, watch), watch.context, skips=False).withColumn("file_ord", F.col("file"))
     return capped(kept, watch.max_lines)
 
 
