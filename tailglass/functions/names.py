@@ -165,7 +165,7 @@ def archive_suffix(name: Column) -> Column:
 
 
 def kin_bases(name: Column) -> Column:
-    """The names that ``name`` may be a rotation of: what stands before each '.' or '-', also with its own extension put back."""
+    """Every log that a file of this name could have been cut from: each beginning that a dot or dash follows, and the same with the name's extension behind it."""
     own = F.regexp_extract(name, EXTENSION, 1)
     cuts = F.filter(F.sequence(F.lit(2), F.greatest(F.length(name), F.lit(2))), lambda i: F.substring(name, i, F.lit(1)).isin(".", "-"))
     before = lambda i: F.substring(name, F.lit(1), i - 1)

@@ -22,7 +22,7 @@ def clean_header(text: Column) -> Column:
 
 
 def attachment_name(section: Column, now: Column) -> Column:
-    """``<section>-<yyyyMMddTHHmm>.txt``: a plain token, no leading '-' or '.', 40 characters of the section."""
+    """A plain file name for a watch and a minute: other characters become one underscore, and at most 40 characters of the watch stay."""
     stem = F.substring(F.regexp_replace(F.regexp_replace(section, "[^A-Za-z0-9._-]+", "_"), "^[-.]+", ""), 1, 40)
     return F.concat(F.when(stem == "", "section").otherwise(stem), F.lit("-"), F.date_format(now, "yyyyMMdd'T'HHmm"), F.lit(".txt"))
 

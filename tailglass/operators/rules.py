@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass, field, replace
 
 RANK = {"low": 1, "medium": 2, "high": 3}
+# Fixed value: a priority in brackets before a pattern's text.
 TAG = re.compile(r"^\[(high|medium|low)\] (.+)$", re.S)
 NESTED = re.compile(r"\([^()]*[*+][^()]*\)[*+{]")
 #: A regular expression that Java's engine reads as Python's: literals, plain classes, single quantifiers.

@@ -78,13 +78,19 @@ def expanded(spark: SparkSession, watch: Watch, patterns: Sequence[str], with_ar
     return Files(files.drop("glob_ord"), claims, globs, problems)
 
 
+def with_sameness(files: DataFrame, cursors: DataFrame) -> DataFrame:
+    """``files`` with the saved offset (_offset) and whether a compressed one is what its cursor says, by inode, size and
+    time (_same): the cursor stands at its end, so it is left out before anything is opened."""
+    saved = cursors.select("file", *(F.col(c).alias(f"_{c}") for c in ("offset", "ino", "dev", "size", "modified")))
+    same = F.col("_ino").eqNullSafe(F.col("ino")) & F.col("_dev").eqNullSafe(F.col("dev")) & (F.col("_size") == F.col("length")) & (F.col("_modified") == F.col("modified"))
+    packed = compressed_suffix(base_name(F.col("file"))) != ""
+    return files.join(saved, "file", "left").withColumn("_same", packed & F.coalesce(same, F.lit(False))).drop("_ino", "_dev", "_size", "_modified")
+
+
 def live_rows(files: DataFrame, cursors: DataFrame, from_start: Column) -> DataFrame:
     """Each file with its cursor, facts and verdict.  A compressed file that is what its cursor says (inode, size, time)
     is "unchanged" and is not opened; one that can't be read has the verdict "unreadable"."""
-    saved = cursors.select("file", *(F.col(c).alias(f"_{c}") for c in ("offset", "ino", "dev", "size", "modified")))
-    rows = files.join(saved, "file", "left").withColumn("whole", F.col("_offset").isNull() & ~F.coalesce(from_start, F.lit(False)))
-    same = F.col("_ino").eqNullSafe(F.col("ino")) & F.col("_dev").eqNullSafe(F.col("dev")) & (F.col("_size") == F.col("length")) & (F.col("_modified") == F.col("modified"))
-    rows = rows.withColumn("_same", (compressed_suffix(base_name(F.col("file"))) != "") & F.coalesce(same, F.lit(False)))
+    rows = with_sameness(files, cursors).withColumn("whole", F.col("_offset").isNull() & ~F.coalesce(from_start, F.lit(False)))
     opened = rows.where("NOT _same")
     facts = examined(opened.select(F.col("file").alias("path"), F.col("_offset").alias("offset"), "whole")).drop("offset").withColumnRenamed("path", "file")
     rows = rows.select(*files.columns, "_same", from_start.alias("from_start")).join(facts, "file", "left")

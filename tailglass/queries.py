@@ -16,9 +16,10 @@ from .operators.matching import hit, matched, priority_name
 from .operators.report import remainder, report_lines, report_rows
 from .operators.rules import Pattern, Watch
 from .plans.cursors import committed, expired, judged, new_files, newest, starts
+from .plans.incremental import ended, with_sameness
 from .plans.rotation import holders, segments
-from .sources.listing import listed_first, oldest_first, union_distinct, without_archives, without_hard_links, without_twins
-from .sources.tables import lines_of_text, table, with_cuts
+from .sources.listing import best_links, listed_first, looked_into, oldest_first, rotated_copies_listed, union_distinct, without_archives, without_hard_links, without_twins
+from .sources.tables import lines_from, lines_of_text, table, with_cuts
 
 WATCH = Watch.of("licences", patterns=["[high] Released under"], ipatterns=["license"], regex=["[low] [0-9]{3}"], iexclude=["apache"], priority="medium", context=1, max_lines=20)
 BYTES = Watch.of("words", patterns=["the"], context=2, max_lines=60)
@@ -250,13 +251,17 @@ def top_files(spark, d):
     return doc_hits(spark, d).groupBy("file").agg(F.count_if("hit").alias("matched")).orderBy(F.desc("matched"), "file").limit(20)
 
 
-@query(LINES + """ SELECT file, number, strlen(text) > 2000 AS cut, strlen(text) > 16000 AS still_cut,
-  CASE WHEN strlen(text) > 16000 THEN 16000 ELSE CAST(strlen(text) AS BIGINT) END AS n_bytes,
-  sha256(CASE WHEN strlen(text) > 16000 THEN array_slice(encode(text), 1, 16000) ELSE encode(text) END) AS sha FROM lines""")
+CUT_BYTES = """, bytes AS (SELECT *, encode(text) AS data FROM lines),
+places AS (
+  SELECT *, CASE WHEN strlen(text) > 16000 THEN list_max(list_filter(range(15997, 16002), lambda i: NOT (array_slice(data, i, i) >= '\\x80'::BLOB AND array_slice(data, i, i) < '\\xC0'::BLOB))) END AS edge FROM bytes),
+held AS (SELECT *, CASE WHEN edge IS NULL THEN data WHEN edge = 16001 THEN array_slice(data, 1, 16000) ELSE array_slice(data, 1, edge - 1) || '\\xEF\\xBF\\xBD'::BLOB END AS held FROM places)"""
+
+
+@query(LINES + CUT_BYTES + """ SELECT file, number, strlen(text) > 2000 AS cut, strlen(text) > 16000 AS still_cut, CAST(octet_length(held) AS BIGINT) AS n_bytes, sha256(held) AS sha FROM held""")
 def line_cap(spark, d):
-    lines = with_cuts(doc_lines(spark, d).withColumn("data", F.encode("text", "UTF-8")))
-    held = F.substring("data", 1, 16000)
-    return lines.select("file", "number", "cut", "still_cut", F.octet_length(held).cast("long").alias("n_bytes"), F.sha2(held, 256).alias("sha"))
+    """A character that the cap would break becomes one mark for a broken character."""
+    lines = with_cuts(doc_lines(spark, d))
+    return lines.select("file", "number", "cut", "still_cut", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"))
 
 
 @query("SELECT doc_id, CAST(strlen(text) - strlen(replace(text, chr(10), '')) AS BIGINT) AS newlines FROM documents")
@@ -425,6 +430,23 @@ def incremental_read(spark, d):
     return lines.join(cursors, F.col("file") == F.col("f"), "left").where((F.col("number") > F.coalesce("offset", F.lit(0))) & hit(Pattern("error"), F.col("text"))).select("file", "number", "text")
 
 
+READ_ON = """WITH docs AS (SELECT doc_id AS file, string_split(text, chr(10)) AS a, doc_id % 5 AS k FROM documents WHERE text IS NOT NULL),
+each AS (SELECT file, k, len(a) AS n, unnest(a) AS line, unnest(range(1, len(a) + 1)) AS number FROM docs),
+ends AS (SELECT *, CAST(sum(strlen(line) + 1) OVER (PARTITION BY file ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS end_offset FROM each)
+SELECT file, number, strlen(line) > 2000 AS cut, strlen(line) > 16000 AS still_cut, CASE WHEN number = n THEN end_offset - 1 ELSE end_offset END AS end_offset,
+  CASE WHEN strlen(line) <= 2000 THEN line END AS text FROM ends WHERE number > least(k, n - 1) AND (number < n OR strlen(line) > 16000)"""
+
+
+@query(READ_ON)
+def read_on(spark, d):
+    """Each text is a file whose cursor stands behind a few lines: what the line source reads from there, by bytes.  The
+    last line has no end and waits, unless it is too long for that.  Lines over 2000 bytes are decoded in pieces, so their text is left out."""
+    texts = table(spark, d, "documents").where("text IS NOT NULL").selectExpr("doc_id AS file", "encode(text, 'UTF-8') AS data", "least(doc_id % 5, size(split(text, '\n', -1)) - 1) AS number", "text")
+    rows = texts.withColumn("start", F.octet_length(F.expr("substring_index(text, '\n', CAST(number AS INT))")) + F.when(F.col("number") > 0, 1).otherwise(0))
+    rows = rows.withColumns({"start": F.when(F.col("number") > 0, F.col("start")).otherwise(0).cast("long"), "number": F.col("number").cast("long")})
+    return lines_from(rows).select("file", "number", "cut", "still_cut", "end_offset", F.when(~F.col("cut"), F.col("text")).alias("text"))
+
+
 @query(f"WITH l AS ({LOGS}) SELECT file, max(number) AS start FROM l GROUP BY file")
 def first_sight_end(spark, d):
     return table(spark, d, "events").groupBy(F.col("user_id").alias("file")).agg(F.count("*").alias("start"))
@@ -500,3 +522,76 @@ def parked_cursor(spark, d):
 SELECT file, path, CAST(row_number() OVER (PARTITION BY file ORDER BY CAST(modified AS DATE), path) AS INTEGER) AS seg, CAST(CASE WHEN path = held THEN 40 ELSE 0 END AS BIGINT) AS start FROM a WHERE wanted""")
 def rotation_segments(spark, d):
     return segments(*lost_logs(spark, d)).select("file", "path", "seg", "start")
+
+
+TIES = HELD[:-1] + ["concat(CAST(o_orderkey AS STRING), '.gz') AS path"]
+TIES_SQL = f"""WITH l AS (SELECT {', '.join(LOST)} FROM customer), c AS (SELECT {', '.join(TIES)}, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderkey % 3 <> 0 AS whole FROM orders),
+p AS (SELECT l.file, c.path, c.month, c.modified, c.whole, modified >= saved_last_seen - INTERVAL 2 SECOND AS recent FROM l JOIN c USING (watch, file) WHERE fingerprint = saved_fingerprint AND c.size >= saved_offset),
+b AS (SELECT *, bool_or(recent) OVER (PARTITION BY file) AS any_recent, coalesce(min(CASE WHEN recent THEN month END) OVER (PARTITION BY file), max(month) OVER (PARTITION BY file)) AS best FROM p),
+t AS (SELECT *, min(modified) OVER (PARTITION BY file) AS measured, row_number() OVER (PARTITION BY file ORDER BY NOT whole, path) AS n FROM b WHERE month = best AND recent = any_recent)"""
+
+
+@query(TIES_SQL + " SELECT file, path, CAST(measured AS TIMESTAMP) AS measured FROM t WHERE n = 1")
+def generation_ties(spark, d):
+    """Orders of one month are copies of one generation, and every third can't be read to its end."""
+    found = table(spark, d, "orders").selectExpr(*TIES, "date_format(o_orderdate, 'yyyyMM01') AS _ymd")
+    found = found.withColumn("c", N.classify(F.concat(F.lit("app.log-"), F.col("_ymd")), F.lit("app.log"))).select("*", "c.style", "c.key", "c.ext_form").drop("c", "_ymd")
+    whole = lambda rows: rows.select("path", (F.substring_index("path", ".", 1).cast("long") % 3 != 0).alias("whole"))
+    rows = holders(table(spark, d, "customer").selectExpr(*LOST), found, whole)
+    return rows.select("file", F.col("c_path").alias("path"), F.col("measured").cast("timestamp_ntz").alias("measured"))
+
+
+@query("""WITH f AS (SELECT o_custkey AS file, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS path, o_orderkey % 5 AS ino, CASE o_orderkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS rank FROM orders)
+SELECT file, path FROM (SELECT *, row_number() OVER (PARTITION BY file, ino ORDER BY rank, path) AS n FROM f) WHERE n = 1""")
+def link_rank(spark, d):
+    """Orders of a customer that have the same remainder are links to one file, named in three ways."""
+    found = table(spark, d, "orders").selectExpr("o_custkey AS file", "lpad(CAST(o_orderkey AS STRING), 12, '0') AS path", "o_orderkey % 5 AS ino", "1 AS dev", "element_at(array('unnamed', 'other', 'dated'), CAST(o_orderkey % 3 AS INT) + 1) AS style")
+    return best_links(found, ["file"]).select("file", "path")
+
+
+@query("""SELECT o_orderkey AS file, o_orderkey % 4 <> 3 AND o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AS same FROM orders""")
+def unchanged_skip(spark, d):
+    """Compressed files (even keys) with a cursor that has another size (every fifth) or time (every seventh) are opened."""
+    orders = table(spark, d, "orders")
+    files = orders.selectExpr("concat(CAST(o_orderkey AS STRING), if(o_orderkey % 2 = 0, '.gz', '')) AS file", "o_orderkey AS k", "o_orderkey AS length", "CAST(o_orderdate AS TIMESTAMP) AS modified", "o_orderkey AS ino", "1L AS dev")
+    cursors = orders.where("o_orderkey % 4 <> 3").selectExpr("concat(CAST(o_orderkey AS STRING), if(o_orderkey % 2 = 0, '.gz', '')) AS file", "0L AS offset", "o_orderkey AS ino", "1L AS dev", "o_orderkey + if(o_orderkey % 5 = 0, 1, 0) AS size", "CAST(o_orderdate AS TIMESTAMP) + make_dt_interval(0, 0, 0, if(o_orderkey % 7 = 0, 1, 0)) AS modified")
+    return with_sameness(files, cursors).select(F.col("k").alias("file"), F.col("_same").alias("same"))
+
+
+CHAINS = """WITH s AS (
+  SELECT o_custkey AS file, o_orderkey AS k, o_orderdate AS modified, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS seg, o_orderkey % 7 = 0 AS renamed, o_orderkey % 5 <> 0 AS marked FROM orders),
+stops AS (SELECT *, min(CASE WHEN renamed THEN seg END) OVER (PARTITION BY file) AS stop FROM s),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY seg DESC) AS n FROM stops WHERE marked AND seg < coalesce(stop, 1000000)) WHERE n = 1)"""
+
+
+@query(CHAINS + """ SELECT file, CAST(k AS VARCHAR) AS path, CAST(100 + k % 1000 AS BIGINT) AS "offset", CAST(k % 50 AS BIGINT) AS line FROM last""")
+def parked_made(spark, d):
+    """Each customer is a log that is away, each order a copy that was read; every seventh had moved, and there the chain
+    stops.  The cursor is parked on the last copy before that with a first line, and then found there by its time and inode."""
+    orders = table(spark, d, "orders")
+    seg = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("int")
+    state = F.to_json(F.struct(
+        F.expr("if(o_orderkey % 7 = 0, 'renamed', 'ok')").alias("why"), F.lit(0).cast("long").alias("part"), F.lit(False).alias("in_line"), F.col("o_orderkey").alias("ino"), F.lit(1).alias("dev"), F.lit(5).alias("size"),
+        F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("modified"), F.expr("if(o_orderkey % 5 <> 0, 'f', NULL)").alias("fingerprint"), F.lit("a").alias("anchor"),
+    ))
+    read = orders.select(F.expr("concat('log ', CAST(o_custkey AS STRING))").alias("file"), F.col("o_orderkey").cast("string").alias("path"), seg.alias("seg"), (F.col("o_orderkey") % 50).alias("number"), F.lit(False).alias("is_history"), (F.col("o_orderkey") % 1000 + 100).alias("end_offset"), state.alias("state"))
+    _, reached, _ = ended(read)
+    saved = reached.where("NOT failed").select("file", *(F.col(c).alias(f"saved_{c}") for c in ("offset", "line", "ino", "dev", "fingerprint", "anchor", "modified")))
+    lost = saved.withColumns({"watch": F.lit("w"), "verdict": F.lit("rotated"), "saved_last_seen": F.lit("2030-01-01").cast("timestamp")} | {c: F.lit(None).cast("long") for c in ("ino", "dev", "size")})
+    found = orders.selectExpr("'w' AS watch", "concat('log ', CAST(o_custkey AS STRING)) AS file", "CAST(o_orderkey AS STRING) AS path", "'dated' AS style", "array(CAST(1 AS BIGINT)) AS key", "o_orderkey AS ino", "1L AS dev", "5000L AS size", "'f' AS fingerprint", "'a' AS anchor", "CAST(o_orderdate AS TIMESTAMP) AS modified", "false AS ext_form")
+    return holders(lost, found).where("stage = 0").select(F.substring("file", 5, 20).cast("long").alias("file"), F.col("c_path").alias("path"), F.col("saved_offset").alias("offset"), F.col("saved_line").alias("line"))
+
+
+@query("""WITH n AS (SELECT DISTINCT o_custkey % 100 AS dir, o_orderkey % 30 AS n FROM orders)
+SELECT '/logs/' || a.dir || '/a.log.' || a.n AS path, '/logs/' || a.dir || '/a.log' AS log FROM n a JOIN n b ON a.dir = b.dir AND a.n > 0 AND b.n = 0""")
+def copies_listed(spark, d):
+    """A folder for some customers; each lists the copies that its orders number, and the log if there is a 0."""
+    files = table(spark, d, "orders").selectExpr("concat('/logs/', CAST(o_custkey % 100 AS STRING), '/a.log', if(o_orderkey % 30 = 0, '', concat('.', CAST(o_orderkey % 30 AS STRING)))) AS path")
+    return rotated_copies_listed(files)
+
+
+@query("""SELECT watch, "glob" FROM (SELECT DISTINCT c_nationkey AS watch, c_mktsegment AS "glob" FROM customer) g
+WHERE NOT EXISTS (SELECT 1 FROM customer u WHERE u.c_nationkey = g.watch AND u.c_mktsegment = g."glob" AND u.c_custkey % 11 = 0)""")
+def globs_looked_into(spark, d):
+    rows = table(spark, d, "customer").selectExpr("c_nationkey AS watch", "c_mktsegment AS `glob`", "c_custkey AS file")
+    return looked_into(rows.select("watch", "glob").distinct(), rows.where("file % 11 = 0"))

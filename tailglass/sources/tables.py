@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .loglines import decoded, raw_lines
+
 LINE_BYTES, MATCHED_BYTES = 2000, 16_000
 
 
@@ -29,3 +35,28 @@ def with_cuts(lines: DataFrame) -> DataFrame:
     """Whether a line is over LINE_BYTES (cut) or over what is matched (still_cut), and its text as far as that."""
     size = F.octet_length("text")
     return lines.withColumns({"cut": size > LINE_BYTES, "still_cut": size > MATCHED_BYTES, "text": F.when(size > MATCHED_BYTES, cut_line(F.col("text"))).otherwise(F.col("text"))})
+
+
+READ = "file long, number long, text string, cut boolean, still_cut boolean, end_offset long"
+
+
+def lines_from(df: DataFrame) -> DataFrame:
+    """The lines of each row's bytes from its place on, by the rules of the line source: READ columns.
+
+    df: file (long), data (binary), start, number (complete lines before the start).  A null has no lines."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):  # one text at a time: its lines are a batch
+                file, data, start, number = (batch.column(c)[row].as_py() for c in ("file", "data", "start", "number"))
+                stream, out = io.BytesIO(data or b""), []
+                stream.seek(start)
+                for line in raw_lines(stream, start):
+                    if not line.only_nuls:
+                        out.append((file, number + 1, decoded(line.kept), len(line.kept.removesuffix(b"\r")) > LINE_BYTES, line.left_out, line.end))
+                    number += line.ended
+                if out:
+                    kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.int64())
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in READ.split(", ")])
+
+    return df.select("file", "data", "start", "number").mapInArrow(step, READ)
