@@ -37,6 +37,11 @@ NEXT = re.compile(r"""[\s/]*(?:[^\s/>][^\s/>=]*)(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\
 #: Elements at either end of a deeper path that a block is described by.
 DEPTH = 100
 SPACE = re.compile(r"[\s/]*")
+SVG = re.compile(r"<(/?)svg(?=[\s/>])(?:[^>]*?)(/?)>", re.I)
+# Fixed value: tags of the page that end a drawing.
+BREAKS_OUT = re.compile(
+    r"<(?:/p|/br|b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|h[1-6]|head|hr|i|img|li|listing|menu|meta|nobr|ol|p|pre|ruby|s|small|span|strong|strike|sub|sup|table|tt|u|ul|var)(?=[\s/>])", re.I
+)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|aria-label|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 PART = re.compile(r"[a-z]+")
 
@@ -68,6 +73,9 @@ class Tags:
 
     def __init__(self, page: str):
         self.page, self.last, self.quotes, self.ends = page, page.rfind(">"), True, {}
+        #: Where the next --!> is (None: there is none more), and where each drawing ends, once either is asked for.
+        self.bang: int | None = -1
+        self.drawings: dict[int, int] | None = None
 
     def close(self, at: int) -> tuple[int, bool]:
         """Where the start tag whose name ends at ``at`` has its ">" (-1: it has none), and whether a "/" of its own stands before."""
@@ -93,6 +101,28 @@ class Tags:
         return found.span() if found else (-1, -1)
 
 
+    def comment(self, at: int) -> int:
+        """The place behind the comment that begins at ``at``: it ends with --> or --!>, or at once."""
+        end = self.page.find("-->", at + 2)
+        if self.bang is not None and self.bang < at + 4:
+            found = self.page.find("--!>", at + 4)
+            self.bang = found if found >= 0 else None
+        if self.bang is not None and (end < 0 or self.bang < end):
+            return self.bang + 4
+        return len(self.page) if end < 0 else max(end + 3, at + 5)
+
+    def drawing(self, at: int) -> int:
+        """The place behind the end tag of the svg element whose start tag ends at ``at``, or -1."""
+        if self.drawings is None:
+            self.drawings, open_ = {}, []
+            for tag in SVG.finditer(self.page):
+                if not tag[1] and not tag[2]:
+                    open_.append(tag.end())
+                elif tag[1] and open_:
+                    self.drawings[open_.pop()] = tag.end()
+        return self.drawings.get(at, -1)
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks with text, in page order; white space is one space, character references are decoded."""
     out: list[Block] = []
@@ -148,8 +178,7 @@ def blocks(page: str | None) -> list[Block]:
         ahead = page[at + 1 : at + 2]
         if ahead in ("!", "?"):
             if page.startswith("<!--", at):
-                end = page.find("-->", at + 2)
-                at = size if end < 0 else max(end + 3, at + 5)
+                at = tags.comment(at)
             else:
                 end = page.find(">", at)
                 at = size if end < 0 else end + 1
@@ -181,7 +210,13 @@ def blocks(page: str | None) -> list[Block]:
         if tag in RAW:
             if tag == "iframe":
                 flush()
-            if not (bare and tag == "svg"):
+            if tag == "svg":
+                if not bare and (end := tags.drawing(at)) >= 0:
+                    at = end
+                elif not bare:  # it never ends: the next element that no drawing holds ends it
+                    out_of_it = BREAKS_OUT.search(page, at)
+                    at = out_of_it.start() if out_of_it else size
+            else:
                 _, end = tags.after(tag, at)
                 at = end if end >= 0 else size if tag in TO_THE_END and not bare else at
             continue

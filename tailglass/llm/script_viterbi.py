@@ -8,9 +8,9 @@ best path gives spans, and the language with most letters is the text's.
 Most texts need no path search: if for the language with the best sum no other gains more than the penalty
 over any run of words, no switch pays, which a running minimum of the sums shows for all texts at once.
 
-Training counts n-grams of a sample: about ``per_language`` texts of each of the ``most_languages`` most frequent
-languages (ties by name), chosen by a hash of doc_id and text, a repeated row once.  These bounds are all that is
-sampled; every text is labelled whole.
+Training counts n-grams of a sample: about ``per_language`` texts of each language, chosen by a hash of doc_id and text,
+a repeated row once.  That bound is all that is sampled; every text is labelled whole.  Every language that a label names
+can be predicted: with very many of them each has fewer buckets, so that the model keeps its size.
 
 Defined results: a null or empty text, or one without letters, is ``und`` with score 0; letters of a script
 that no language used say nothing; without labelled texts everything is ``und``; null or equal doc_ids are
@@ -20,7 +20,7 @@ rows of their own; other columns are not read; an empty table gives an empty tab
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -48,9 +48,9 @@ MARK = 1
 @dataclass(frozen=True)
 class Languages:
     per_language: int = 2000
-    #: Bounds the model, 2 MB a language, however many wrong labels there are.
-    most_languages: int = 100
+    #: Buckets of n-grams are 2 ** bits, or fewer where so many languages would pass ``model_bytes``: no language is left out.
     bits: int = 17
+    model_bytes: int = 210_000_000
     penalty: float = 8.0
     smoothing: float = 0.5
     #: A language is possible for a script that has at least this share of its letters.
@@ -183,8 +183,10 @@ def held_out(doc_id):
 def train(docs: DataFrame, how: Languages = Languages()) -> Model:
     """Counts of a bounded sample, made in tasks and summed here: one row a task and language."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(how.most_languages).collect()}
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}  # a row a language
     languages = sorted(sizes)
+    fitting = how.model_bytes // (4 * GRAMS * max(1, len(languages)))
+    how = replace(how, bits=max(4, min(how.bits, fitting.bit_length() - 1)))
     size = 1 << how.bits
     if not languages:
         return Model([], how, np.zeros((GRAMS, size, 0)), np.zeros((len(NAMES), 0)), np.zeros(0))

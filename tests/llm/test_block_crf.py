@@ -27,7 +27,11 @@ def test_blocks():
     assert path == (("div", ("post", "body", "x", "main")), ("p", ("hidden",)))
     assert len(texts("<div>" * 3000 + "deep" + "</div>" * 3000)) == 1
     # closed and unclosed elements without text of their own; content that is text; quotes anywhere in a tag
-    assert texts("<p>a<svg/>b</p><p>c</p>") == ["ab", "c"] == texts("<p>a<svg>b</p><p>c") and texts("a<script>x<p>") == ["a"]
+    assert texts("<p>a<svg/>b</p><p>c</p>") == ["ab", "c"] and texts("<p>a<svg>b</p><p>c") == ["a", "c"] and texts("a<script>x<p>") == ["a"]
+    # a drawing holds drawings and ends with its own end tag; one without an end ends where the page goes on
+    assert texts("<p>a<svg><svg>i</svg>x</svg>b</p>") == ["ab"] and texts("<p>a<svg>icon<div>c") == ["a", "c"] and texts("a<svg>icon") == ["a"]
+    # a comment ends with --!> too, but not at once
+    assert texts("<p>a<!-- b --!>c</p><p>d</p>") == ["ac", "d"] and texts("a<!--!>b-->c") == ["ac"] and texts("a<!--x--!>b-->c") == ["ab-->c"]
     assert texts('<script src="a"/>b<p>c') == ["b", "c"] and texts("<script/>a</script>b<style/>c") == ["bc"]
     assert texts("<math>x+1</math> <object>alt</object><textarea>t<b></textarea>") == ["x+1 alt", "t<b>"]
     assert texts("<p title=it's>hello") == texts("<p 'x\" y>hello") == texts("<p a='>' b=\"'>\" c>hello") == ["hello"]
@@ -35,7 +39,7 @@ def test_blocks():
     assert texts("<p>a</>b<!-->c--><!--d-->e</ p>") == ["abc-->e"]
 
 
-@pytest.mark.parametrize("piece", ["<p title=it's>hello ", '<p a=" ', "<svg>", "<p ", "<!-- ", "</ ", "<textarea>", "<div>a", "<p 'x' \"y> ", "</b>", "<li>"])
+@pytest.mark.parametrize("piece", ["<p title=it's>hello ", '<p a=" ', "<svg>", "<p ", "<!-- ", "</ ", "<textarea>", "<!--x", "<svg><svg></svg>", "<div>a", "<p 'x' \"y> ", "</b>", "<li>"])
 def test_a_long_page_takes_linear_time(piece):
     def seconds(size):
         start = time.process_time()

@@ -62,13 +62,15 @@ def test_odd_texts(spark, model):
 
 
 def test_repeated_rows_and_many_labels(spark):
-    """A row that repeats is learned from once; of more labels than the bound the most frequent are learned."""
+    """A row that repeats is learned from once; every label is learned, with fewer buckets where there are many."""
     ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
     texts = [("der schein keit", "aa"), ("que les tion", "bb"), ("при вет мир", "cc"), ("x", "dd")]
     rows = [(i, *texts[0]) for i in ids[:1] * 300] + [(i, *texts[1]) for i in ids[1:3]] + [(ids[3], *texts[2]), (ids[4], *texts[3])]
-    make = lambda r: train(spark.createDataFrame(r, "doc_id long, text string, lang string"), Languages(most_languages=3))
+    make = lambda r: train(spark.createDataFrame(r, "doc_id long, text string, lang string"), Languages(model_bytes=4 * 4 * 4 << 12))
     got, want = make(rows), make(rows[299:])
-    assert got.languages == ["aa", "bb", "cc"] == sorted(want.languages)
+    assert got.languages == ["aa", "bb", "cc", "dd"] == sorted(want.languages) and got.how.bits == 12
     assert np.array_equal(got.table, want.table)
     made = spark.createDataFrame([(1, "schein der"), (2, "les tion"), (3, "мир")], "doc_id long, text string")
     assert [r.lang_pred for r in languages(made, model=got).collect()] == ["aa", "bb", "cc"]
+    many = [(ids[i % len(ids)] + 4096 * i, f"{chr(0x430 + i % 31)}{chr(97 + i % 26)} {'abcdefghij'[i // 100]}{i:05d}z" + f" wort{'qrstuvwxyz'[i // 100]}{chr(97 + i // 26 % 26)}" * 3, f"l{i}") for i in range(150)]
+    assert len(train(spark.createDataFrame(many, "doc_id long, text string, lang string"), Languages(model_bytes=1 << 22)).languages) == len({r[2] for r in many if zlib.crc32(str(r[0]).encode()) % 4 != 2}) > 100
