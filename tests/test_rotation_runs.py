@@ -10,6 +10,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tailglass.operators.matching import matched, run_until
 from tailglass.operators.rules import Watch
 from tailglass.plans import incremental
 from tailglass.plans.incremental import CURSORS, in_ranges, stretches, watched
@@ -268,3 +269,33 @@ def test_zst(spark, tmp_path):
     (tmp_path / "b.zst").write_bytes(pack(data)[:-900])
     rows, _, number, state = rows_of(tmp_path / "b.zst")
     assert state["why"] == "damaged" and number == len(rows) < 30_000
+
+
+def test_a_folder_of_copies_and_no_files(spark, tmp_path):
+    """Nothing to read is no error; copies are found in another folder; a name there that only looks alike is none."""
+    runs = Runs(spark, tmp_path, ["x.log", "y.log"])
+    old = tmp_path / "old"
+    assert runs.once() == {} and runs.failed == {}
+    put(tmp_path / "x.log", "one\n")
+    runs.once()
+    put(tmp_path / "x.log", "two\n")
+    old.mkdir()
+    (tmp_path / "x.log").rename(old / "x.log.1")
+    put(old / "x.logs.1", "other\n")
+    put(tmp_path / "x.log", "three\n")
+    assert runs.once(folders=[str(old)]) == {"x.log": [("x.log.1", 2, "two"), ("x.log", 1, "three")]}
+    assert runs.cursor("y.log") is None
+
+
+def test_one_deadline_for_all_batches(spark):
+    """Each batch is well within its own bound, and all of them together are not."""
+    watch = Watch.of("slow", regex=["(a+)+$"])
+    rows = spark.range(200).select(F.lit("f").alias("file"), F.lit("f").alias("path"), F.col("id").alias("number"), F.concat(F.lit("a" * 21), F.lit("!"), F.col("id")).alias("text")).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    began = time.time()
+    try:
+        with pytest.raises(Exception, match="took more than"):
+            matched(rows, watch, 60, run_until(4)).where("hit").count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert time.time() - began < 30
