@@ -148,13 +148,20 @@ def layout(counts: dict[int, int], how: Packing) -> dict[int, list[tuple[int, in
     return runs
 
 
+def in_blocks(pieces: DataFrame, blocks: int) -> DataFrame:
+    """Stored pieces with their block.  Their places in the stored files are hashed too, so rows that are all alike are
+    spread over blocks; every pass reads the same files and deals each row alike, whatever executors are lost."""
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1)
+    return pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", part, "_metadata.row_index"), F.lit(blocks)).cast("int"))
+
+
 def pack(docs: DataFrame, how: Packing = Packing()) -> DataFrame:
     """A row for each piece of each document, with its sequence and its offset there."""
     spark = docs.sparkSession
     pieces = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(lambda batches: pieces_of(batches, how)), PIECES), "pieces")
     n = pieces.count()
     blocks = max(1, min(MOST_BLOCKS, n // BLOCK_ROWS))
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)).cast("int"))
+    dealt = in_blocks(pieces, blocks)
     before, runs, counts = [], [], {}
     for row in dealt.groupBy("length", "block").count().orderBy("length", "block").collect():  # capacity / unit + unit lengths, MOST_BLOCKS at most
         before.append((row["length"], row["block"], counts.get(row["length"], 0)))

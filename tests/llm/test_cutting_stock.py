@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tailglass.llm.cutting_stock import Packing, best_pattern, pack, solve
+from tailglass.llm.common import stored
+from tailglass.llm.cutting_stock import Packing, best_pattern, in_blocks, pack, solve
 from tailglass.llm.tokens import VOCABULARY, Encoder
 
 ODD = ["", None, " ", "It's <|endoftext|> we'LL", "İSTANBUL ΣΑΣ ǅ", "á ́x é", "日本語 テキスト", "1234 5.6", "x y z", "a\x1cb\x85c", "\x00 null", "don't'd", "ﬁ ½ Å", "😀😀 !!??", "﻿bom", "𝔘nicode"]
@@ -79,3 +80,12 @@ def test_empty_table(spark):
 def test_cuts(n):
     cuts = list(Packing().cuts(n))
     assert sum(k for _, k in cuts) == n and [a for a, _ in cuts] == np.cumsum([0, *(k for _, k in cuts)])[:-1].tolist()
+
+
+def test_repeated_row_is_spread(spark):
+    """A third of all rows is one row: no block gets more than its share, and each pass deals alike."""
+    rows = spark.range(6000).selectExpr("if(id % 3 = 0, 7, id) AS doc_id", "0L AS start", "9L AS length", "5L AS ids_crc32", "9L AS doc_tokens")
+    dealt = in_blocks(stored(rows, "pieces"), 16)
+    sizes = {r.block: r["count"] for r in dealt.groupBy("block").count().collect()}
+    assert len(sizes) == 16 and max(sizes.values()) < 2 * 6000 / 16
+    assert sizes == {r.block: r["count"] for r in dealt.repartition(3, "doc_id").groupBy("block").count().collect()}
