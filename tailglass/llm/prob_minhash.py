@@ -282,7 +282,7 @@ def least_inverse(a: str, b: str) -> Column:
         # the marks that q lacks are of shingles that it lacks; what is neither lone nor lacking may be common
         only = " + ".join(f"bit_count({p}marks[{i}] & ~{q}marks[{i}])" for i in range(MARKS))
         # a shingle counts once, and what repeats within a text may all be of common ones
-        return f"{p}weight / least({p}weight - {p}lone_weight - ({only}), {both} + {p}weight - {p}own)"
+        return f"try_divide({p}weight, least({p}weight - {p}lone_weight - ({only}), {both} + {p}weight - {p}own))"
 
     return F.expr(f"{inverse(a, b)} + {inverse(b, a)} - 1")
 
