@@ -63,6 +63,10 @@ class Files:
     problems: DataFrame
 
 
+def globs_among(spark: SparkSession, watch: Watch, patterns: Sequence[str]) -> DataFrame:
+    return spark.createDataFrame([(watch.name, g) for g in dict.fromkeys(patterns) if set(g) & set("*?[")], "watch string, glob string")
+
+
 def expanded(spark: SparkSession, watch: Watch, patterns: Sequence[str], with_archives: bool = False) -> Files:
     """What the patterns of a watch name: rotated copies under a glob are left out, and a name beats a glob."""
     rows = listing(spark, patterns).withColumn("watch", F.lit(watch.name))
@@ -73,8 +77,7 @@ def expanded(spark: SparkSession, watch: Watch, patterns: Sequence[str], with_ar
     claimed = listed_first(named.unionByName(globbed))
     files = union_distinct(claimed, ["glob_ord"]).withColumn("glob", F.when(is_glob(F.col("glob")), F.col("glob"))).withColumnRenamed("path", "file")
     claims = claimed.where(is_glob(F.col("glob"))).select("watch", "glob", F.col("path").alias("file"), "modified")
-    globs = spark.createDataFrame([(watch.name, g) for g in dict.fromkeys(patterns) if set(g) & set("*?[")], "watch string, glob string")
-    globs = globs.join(problems, F.col("glob") == F.col("item"), "left_anti")
+    globs = globs_among(spark, watch, patterns).join(problems, F.col("glob") == F.col("item"), "left_anti")
     return Files(files.drop("glob_ord"), claims, globs, problems)
 
 
@@ -243,7 +246,8 @@ def watched(
         denied = rows.where("verdict = 'unreadable'")
         unopened = denied.join(own, "file", "left_anti").join(every.claims.select("file", F.col("glob").alias("_g")), "file").join(moments.select("watch", F.col("glob").alias("_g")), ["watch", "_g"], "left_semi")
         seen = looked_into(every.globs, unopened.select("watch", F.col("_g").alias("glob"))).withColumn("moment", now.cast("timestamp"))
-        later = merged_moments(moments, seen, every.globs.select("watch", "glob").union(moments.where(F.col("watch") != watch.name).select("watch", "glob")))
+        # a glob of the watch that could not be looked into keeps its moment
+        later = merged_moments(moments, seen, globs_among(spark, watch, patterns).union(moments.where(F.col("watch") != watch.name).select("watch", "glob")))
         failed = every.problems.unionByName(denied.select(F.col("file").alias("item"), F.lit("cannot be read").alias("why"))).unionByName(failed)
         fixed = [spark.createDataFrame(x.collect(), x.schema) for x in (after, later if accepted else moments, failed)]  # a row for each file and glob; what was cached goes
         return Run(*fixed, accepted)
