@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tailglass.llm.co_training import CONTENT, LAYOUT, MEASURES, CoTraining, Sparse, measured, metadata_view, quality, scale, sigmoid, text_view, train, with_content
+from tailglass.llm.co_training import CONTENT, LAYOUT, MEASURES, CoTraining, Sparse, measured, metadata_view, quality, read_facts, scale, sigmoid, surest, text_view, train, with_content
 
 DOCS = "doc_id long, text string, source string, lang string, score double"
 LABELS = "doc_id long, quality int, toxic int"
@@ -32,31 +32,52 @@ def test_held_out_accuracy(spark, sf_dir):
 
 def test_rounds_teach_the_other_view(spark, docs01, sf_dir):
     how = CoTraining(taught=20, sure=0.6)
-    _, good, _ = train(docs01, spark.read.parquet(f"{sf_dir}/labels.parquet"), how)
+    _, good, _ = train(read_facts(docs01, how), spark.read.parquet(f"{sf_dir}/labels.parquet"), how)
     assert len(good.rounds) >= 1
     if len(good.rounds) > 1:
         assert sum(good.rounds[-1]) > sum(good.rounds[0])
 
 
-def test_a_repeated_doc_id_is_learned_from_once(spark, docs01, sf_dir):
-    """Hundreds of rows of one doc_id, with a label or with the least hash of those without, change nothing."""
+def test_a_repeated_row_is_learned_from_once(spark, docs01, sf_dir):
+    """Hundreds of copies of a row, with a label or of the pool, change nothing, nor do other texts of a labelled doc_id."""
     docs, labels = docs01.select("doc_id", "text", "source", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    how = CoTraining(labelled=60, pool=30)
-    by = F.xxhash64("doc_id"), F.col("doc_id")
-    labelled = labels.orderBy(*by).first().doc_id
-    free = docs.join(labels, "doc_id", "left_anti").orderBy(*by).first().doc_id
+    how = CoTraining(labelled=60, taught=10, sure=0.6)
+    labelled = labels.orderBy(F.xxhash64("doc_id"), "doc_id").first().doc_id
+    free = docs.join(labels, "doc_id", "left_anti").orderBy("doc_id").first().doc_id
     hot = docs.where(F.col("doc_id").isin(labelled, free)).crossJoin(spark.range(200)).drop("id")
-    # other texts for the same doc_ids, all with a greater hash
-    bound = {r.doc_id: r.h for r in docs.where(F.col("doc_id").isin(labelled, free)).select("doc_id", F.xxhash64("text", "source", "lang").alias("h")).collect()}
-    other = spark.range(100).select(F.explode(F.array(F.lit(labelled), F.lit(free))).alias("doc_id"), F.concat(F.lit("other "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"))
-    over = F.when(F.col("doc_id") == labelled, bound[labelled]).otherwise(bound[free])
-    other = other.where(F.xxhash64("text", "source", "lang") > over)
-    want, got = train(docs, labels, how), train(docs.union(hot).union(other), labels, how)
+    # other texts for the labelled doc_id, all with a greater hash
+    bound = docs.where(F.col("doc_id") == labelled).select(F.min(F.xxhash64("text", "source", "lang"))).first()[0]
+    other = spark.range(5).select(F.lit(labelled).alias("doc_id"), F.concat(F.lit("other "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"))
+    other = other.where(F.xxhash64("text", "source", "lang") > bound)
+    want, got = train(read_facts(docs, how), labels, how), train(read_facts(docs.union(hot).union(other), how), labels, how)
     assert np.array_equal(want[0], got[0])
     for x, y in zip(want[1:], got[1:], strict=True):
         assert x.rounds == y.rounds and all(np.array_equal(m.weights, n.weights) for m, n in zip(x.models, y.models, strict=True))
 
 
+def test_the_surest_of_all_documents(spark, docs01, sf_dir):
+    """What the views teach, held against the scores of all documents of the pool, one by one."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    how = CoTraining(rounds=0, taught=7, sure=0.55, labelled=200)
+    docs = docs01.unionByName(docs01.where("doc_id % 3 = 0"))
+    facts = read_facts(docs, how).repartition(5)
+    cuts, *targets = train(facts, labels, how)
+    got = {}
+    for r in surest(facts, targets, cuts, how):
+        got.setdefault((r.target, r.view, r.yes), []).append(r.hash)
+    assert got
+    want = {}
+    for r in {x.hash: x for x in facts.orderBy(F.desc("doc_id")).collect()}.values():
+        f, m = np.frombuffer(bytes(r.features), np.uint32).astype(np.int64), np.array([r.measures])
+        views = with_content(np.zeros(len(f), np.int64), f, m, cuts, how.bits), metadata_view(m, cuts)
+        for i, target in enumerate(targets):
+            for j, (model, (row, feature)) in enumerate(zip(target.models, views, strict=True)):
+                logit = model.logit(row, feature, 1)[0]
+                if not target.flat and r.doc_id not in target.doc_ids and r.hash not in target.taken and abs(logit) >= np.log(how.sure / (1 - how.sure)):
+                    want.setdefault((i, j, bool(logit > 0)), []).append((-abs(logit), r.hash))
+    assert got == {k: [h for _, h in sorted(v)[: targets[k[0]].quota(k[2], how)]] for k, v in want.items()}
+
+
 def test_sparse_regression_against_dense_gradient():
     rng = np.random.default_rng(1)
     x = rng.random((400, 6)) < 0.4
