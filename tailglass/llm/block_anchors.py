@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, lean, split_words, spread, windows, word_hashes
+from .common import U64, lean, split_words, spread, stored, windows, word_hashes
 
 WINDOW = 35
 #: Bytes of text in a group, and groups whose words a bucket gets.
@@ -235,18 +235,20 @@ def without(words: Words, cut: np.ndarray, rows: pa.Table) -> pa.Table:
     return rows.set_column(rows.schema.get_field_index("text"), "text", pa.array(texts, rows.schema.field("text").type))
 
 
-def deal(docs: DataFrame, groups: int) -> DataFrame:
-    """Rows in groups by doc_id, text and their place in the input, so copies of one row are in many groups.
+def deal(docs: DataFrame) -> DataFrame:
+    """Rows with a number from doc_id, text and their place, so copies of one row go to many groups.
 
-    A row must be dealt alike in all passes: ``docs`` should be a table that is read, as queries and stages give it."""
-    return docs.withColumn(G, F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
+    The table is written with its numbers once: a place in an input that is read again, in other splits or from a
+    shuffle, may be another, and all passes must deal a row alike."""
+    return stored(docs.withColumn(G, F.xxhash64("doc_id", "text", F.monotonically_increasing_id())), "dealt")
 
 
 def find_repeats(docs: DataFrame, finish: Callable[[Words, np.ndarray, pa.Table], pa.Table], schema, window: int = WINDOW) -> DataFrame:
     """Run the three passes; ``finish`` makes the result of each group from its words, the cuts and its rows."""
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = deal(docs)
+    n_bytes = dealt.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     plan = Plan(n_bytes, window)
-    dealt = deal(docs, plan.groups)
+    dealt = dealt.withColumn(G, F.pmod(G, F.lit(plan.groups)).cast("int"))
     sent = dealt.groupBy(G).applyInArrow(lean(lambda key, rows: plan.probe(key, rows)), SENT)
     back = sent.groupBy(B).applyInArrow(lean(lambda rows: meet(rows, True)), BACK)
     sent = dealt.groupBy(G).cogroup(back.groupBy(G)).applyInArrow(lean(lambda key, rows, hits: plan.extend(key, rows, hits)), SENT)
