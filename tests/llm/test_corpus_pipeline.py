@@ -108,4 +108,4 @@ def test_registered():
     import __spark_entry__
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
-    assert {n.split("_")[0] for n in __spark_entry__.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in __spark_entry__.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
