@@ -186,27 +186,31 @@ def ended(read: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     hurt = F.col("why").isin("denied", "damaged")
     wrong = state.where(hurt & live).select("file").distinct()
     failed = state.where((F.col("why") == "denied") | (hurt & live)).select(F.col("path").alias("item"), F.col("why"))
-    stops = state.where(F.col("why").isin("gone", "renamed", "truncated"))
-    stops = stops.select("file", F.struct("seg", F.when(F.col("why") == "truncated", F.col("at")).otherwise(F.lit(-1)).cast("long").alias("at")).alias("stop")).groupBy("file").agg(F.min("stop").alias("stop"))
+    stopped = F.col("why").isin("gone", "renamed", "truncated")
+    stop = F.min(F.when(stopped, F.struct("seg", F.when(F.col("why") == "truncated", F.col("at")).otherwise(F.lit(-1)).cast("long").alias("at"))))
+    stops = state.where(stopped).groupBy("file").agg(stop.alias("stop"))
     lines = read.where("state IS NULL").drop("state").join(stops, "file", "left").join(wrong, "file", "left_anti")
-    lines = lines.where(F.col("stop").isNull() | (F.struct("seg", F.col("end_offset").alias("at")) <= F.col("stop"))).drop("stop")
-    came = lines.where("NOT is_history").groupBy("file", "seg").agg(F.count("*").alias("came"))
-    usable = state.join(stops, "file", "left").where(F.col("stop").isNull() | (F.struct("seg", F.col("at")) <= F.col("stop"))).where(~F.col("why").isin("none", "gone", "renamed", "denied"))
+    lines = lines.where(F.col("stop").isNull() | (F.struct("seg", F.col("end_offset").alias("at")) <= F.col("stop")))
+    came = lines.where(~F.col("is_history") & (F.col("seg") == F.col("stop.seg"))).select("file").distinct().withColumn("came", F.lit(True))
+    lines = lines.drop("stop")
+    # sorted once, by (file, seg), for the stop, the members and the files
+    chain = Window.partitionBy("file").orderBy("seg").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    every = state.withColumn("stop", stop.over(chain))
+    usable = (F.col("stop").isNull() | (F.struct("seg", F.col("at")) <= F.col("stop"))) & ~F.col("why").isin("none", "gone", "renamed", "denied")
     whole = F.struct("seg", "path", "at", "number", "in_line", "ino", "dev", "size", "modified", "fingerprint", "anchor", "why")
-    each = usable.groupBy("file", "seg").agg(F.max_by(whole, F.struct("at", "part")).alias("end"), F.max("stop.seg").alias("stop_seg")).join(came, ["file", "seg"], "left")
+    each = every.groupBy("file", "seg").agg(F.max_by(whole, F.when(usable, F.struct("at", "part"))).alias("end"), F.max("stop.seg").alias("stop_seg"), F.max(hurt & live).alias("wrong"))
     # the live file's own place counts unless it was cut before a line of it was read
-    good = (F.col("end.path") == F.col("file")) & (~F.col("seg").eqNullSafe(F.col("stop_seg")) | (F.coalesce("came", F.lit(0)) > 0))
+    good = (F.col("end.path") == F.col("file")) & (~F.col("seg").eqNullSafe(F.col("stop_seg")) | F.coalesce("came", F.lit(False)))
     good |= (F.col("end.path") != F.col("file")) & F.col("end.fingerprint").isNotNull()
-    last = each.where(good).groupBy("file").agg(F.max_by("end", "seg").alias("end"))
+    last = each.join(came, "file", "left").groupBy("file").agg(F.max_by("end", F.when(good, F.col("seg"))).alias("end"), F.max("wrong").alias("wrong"))
     parked = F.col("end.path") != F.col("file")
     settled = (compressed_suffix(base_name(F.col("file"))) != "") & (F.col("end.why") == "ok")
     stamp = lambda c: F.when(parked | settled, c)
     reached = last.select(
         "file", F.col("end.at").alias("offset"), *(F.col(f"end.{c}").alias(c) for c in ("ino", "dev", "fingerprint", "anchor", "in_line")), F.col("end.number").alias("line"),
-        stamp(F.col("end.size")).alias("size"), stamp(F.timestamp_micros(F.col("end.modified"))).alias("modified"),
+        stamp(F.col("end.size")).alias("size"), stamp(F.timestamp_micros(F.col("end.modified"))).alias("modified"), (F.coalesce("wrong", F.lit(False)) | F.col("end.at").isNull()).alias("failed"),
     )
-    files = state.select("file").distinct().join(reached, "file", "left").join(wrong.withColumn("failed", F.lit(True)), "file", "left")
-    return lines, files.withColumn("failed", F.coalesce("failed", F.lit(False)) | F.col("offset").isNull()), failed
+    return lines, reached, failed
 
 
 def watched(

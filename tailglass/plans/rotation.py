@@ -22,8 +22,8 @@ def seconds(c: Column | str) -> Column:
     return F.unix_seconds((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
 
 
-def one_style(style: str, within) -> Column:
-    """Whether the rows of a window have one recognised style, so that keys order them."""
+def one_style(style: Column | str, within) -> Column:
+    """Whether the rows of a window have one recognised style, so that keys order them; nulls are no rows."""
     return F.coalesce((F.min(style).over(within) == F.max(style).over(within)) & F.max(style).over(within).isin("numeric", "dated"), F.lit(False))
 
 
@@ -55,10 +55,13 @@ def holders(lost: DataFrame, copies: DataFrame, whole: Callable[[DataFrame], Dat
         parked = named & F.coalesce((seconds("saved_modified") == seconds("c_modified")) & reaches & (own | F.col("saved_fingerprint").isNotNull()), F.lit(False))
         at_0 = lambda c: F.when(F.col("stage") == 0, c)
         parked_order = [at_0(~own), at_0(F.col("saved_modified") != F.col("c_modified")), at_0(F.col("c_style") == "other")]
-    pairs = pairs.withColumns({"_recent": recent & named, "_named": named})
-    pairs = pairs.withColumn("_one", one_style("c_style", Window.partitionBy("watch", "file", "_recent", "_named")))
+    # the join has sorted by (watch, file): what holds for a whole search comes in that order, and only its first stage is sorted again
+    group = Window.partitionBy("watch", "file")
     stage = F.when(parked, 0).when(named & fits & recent, 1).when(inode, 2).when(named & fits, 3)
-    pairs = pairs.withColumn("stage", stage).where("stage IS NOT NULL")
+    pairs = pairs.withColumns({"_recent": recent & named, "stage": stage})
+    ages = [named & F.col("_recent").eqNullSafe(F.lit(x)) for x in (True, False, None)]
+    one = F.coalesce(*(F.when(a, one_style(F.when(a, F.col("c_style")), group)) for a in ages), F.lit(False))
+    pairs = pairs.withColumns({"_one": one, "_stage": F.min("stage").over(group)}).where("stage = _stage")
     age = F.unix_micros(F.col("c_modified").cast("timestamp"))
     up, down = F.col("stage") != 3, F.col("stage") == 3
     by_age = [
@@ -68,16 +71,14 @@ def holders(lost: DataFrame, copies: DataFrame, whole: Callable[[DataFrame], Dat
     ]
     best = Window.partitionBy("watch", "file").orderBy("stage", *parked_order, *by_age, "c_path")
     alike = F.struct("stage", "c_style", "c_ext_form", F.when(F.col("c_style") == "other", F.array(age)).otherwise(F.col("c_key")).alias("age"))
-    pairs = pairs.withColumns({"_n": F.row_number().over(best), "_alike": alike})
-    pairs = pairs.withColumn("_first", F.first("_alike").over(best)).where("_n = 1 OR (stage IN (1, 3) AND _alike = _first)")
-    group = Window.partitionBy("watch", "file")
-    pairs = pairs.withColumns({"measured": F.min("c_modified").over(group), "_cut": F.lit(False)})
+    pairs = pairs.withColumn("_alike", alike).withColumns({"_n": F.row_number().over(best), "_first": F.first("_alike").over(best)})
+    pairs = pairs.where("_n = 1 OR (stage IN (1, 3) AND _alike = _first)").withColumn("measured", F.min("c_modified").over(group))
     if whole is not None:
         pairs = pairs.withColumn("_many", F.count("*").over(group))
         read = whole(pairs.where("_many > 1").select(F.col("c_path").alias("path"))).select(F.col("path").alias("c_path"), (~F.col("whole")).alias("_not_whole"))
-        pairs = pairs.join(read, "c_path", "left").withColumn("_cut", F.coalesce("_not_whole", F.lit(False))).drop("_not_whole", "_many")
-    chosen = Window.partitionBy("watch", "file").orderBy("_cut", "_n")
-    return pairs.withColumn("_c", F.row_number().over(chosen)).where("_c = 1").drop("_c", "_n", "_alike", "_first", "_cut", "_one", "_recent", "_named")
+        pairs = pairs.join(read, "c_path", "left").withColumn("_cut", F.coalesce("_not_whole", F.lit(False)))
+        pairs = pairs.withColumn("_n", F.row_number().over(group.orderBy("_cut", "_n"))).drop("_not_whole", "_many", "_cut")
+    return pairs.where("_n = 1").drop("_n", "_alike", "_first", "_one", "_recent", "_stage")
 
 
 def written_since(copies: DataFrame) -> DataFrame:

@@ -570,11 +570,12 @@ def parked_made(spark, d):
     stops.  The cursor is parked on the last copy before that with a first line, and then found there by its time and inode."""
     orders = table(spark, d, "orders")
     seg = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("int")
+    members = orders.select("o_custkey", "o_orderkey", "o_orderdate", seg.alias("seg"))  # numbered before the wide state is made
     state = F.to_json(F.struct(
         F.expr("if(o_orderkey % 7 = 0, 'renamed', 'ok')").alias("why"), F.lit(0).cast("long").alias("part"), F.lit(False).alias("in_line"), F.col("o_orderkey").alias("ino"), F.lit(1).alias("dev"), F.lit(5).alias("size"),
         F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("modified"), F.expr("if(o_orderkey % 5 <> 0, 'f', NULL)").alias("fingerprint"), F.lit("a").alias("anchor"),
     ))
-    read = orders.select(F.expr("concat('log ', CAST(o_custkey AS STRING))").alias("file"), F.col("o_orderkey").cast("string").alias("path"), seg.alias("seg"), (F.col("o_orderkey") % 50).alias("number"), F.lit(False).alias("is_history"), (F.col("o_orderkey") % 1000 + 100).alias("end_offset"), state.alias("state"))
+    read = members.select(F.expr("concat('log ', CAST(o_custkey AS STRING))").alias("file"), F.col("o_orderkey").cast("string").alias("path"), "seg", (F.col("o_orderkey") % 50).alias("number"), F.lit(False).alias("is_history"), (F.col("o_orderkey") % 1000 + 100).alias("end_offset"), state.alias("state"))
     _, reached, _ = ended(read)
     saved = reached.where("NOT failed").select("file", *(F.col(c).alias(f"saved_{c}") for c in ("offset", "line", "ino", "dev", "fingerprint", "anchor", "modified")))
     lost = saved.withColumns({"watch": F.lit("w"), "verdict": F.lit("rotated"), "saved_last_seen": F.lit("2030-01-01").cast("timestamp")} | {c: F.lit(None).cast("long") for c in ("ino", "dev", "size")})
